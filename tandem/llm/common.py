@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
 #: Byte classes of `[^\x20\x09-\x0D]+` words.
@@ -56,6 +57,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most `most` rows, those whose id hashes lowest; larger inputs are thinned by hash before the sort."""
+    n = rows.count()
+    if n > most:
+        rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * most / n))
+    return rows.orderBy(F.xxhash64(id_col), id_col).limit(most)
+
+
 def slices(text: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges (start, count) of at most `limit` bytes of text each, but one row at least."""
     sizes = np.diff(offsets_of(text).astype(np.int64)) if len(text) else np.zeros(0, np.int64)

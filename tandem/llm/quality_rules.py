@@ -239,13 +239,7 @@ def fit(counts: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max
 def learn(measured: DataFrame, labels: DataFrame, counts: str = "counts", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DecisionList:
     """Fits the list on at most `max_labelled` labelled rows of `measured` (columns id_col and counts)."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
-    rows = (
-        measured.select(F.col(id_col).alias("_id"), F.col(f"{counts}.*"))
-        .join(marks, "_id")
-        .orderBy(F.xxhash64("_id"), *MEASURES)
-        .limit(max_labelled)
-        .toPandas()
-    )
+    rows = measured.select(F.col(id_col).alias("_id"), F.col(f"{counts}.*")).join(common.bounded(marks, "_id", max_labelled), "_id").orderBy(F.xxhash64("_id"), *MEASURES).limit(max_labelled).toPandas()
     if not len(rows) or rows["_y"].nunique() < 2:
         return DecisionList(())
     return fit({c: rows[c].to_numpy() for c in MEASURES}, rows["_y"].to_numpy() == 0)

@@ -133,9 +133,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
         .where(fold("doc_id") != 0)
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(max_labelled)
     )
+    marks = common.bounded(marks, "doc_id", max_labelled)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = common.cut(plain.join(F.broadcast(marks), "doc_id"))
     aside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
