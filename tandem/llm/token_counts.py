@@ -134,13 +134,25 @@ def piece_counts(docs: DataFrame, model: str, text_col: str = "text") -> DataFra
     return common.cut(seen.mapInArrow(_pieces(model), "piece string, n long, tokens long"))
 
 
+def most_frequent(pieces: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows, the most frequent: a histogram of frequencies gives the least one that fits."""
+    eighths = F.floor(8 * F.log2("n"))
+    room, cutoff = most, None
+    for r in pieces.groupBy(eighths.alias("e")).count().orderBy(F.desc("e")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        cutoff = r["e"]
+    return pieces.where(eighths >= cutoff) if cutoff is not None else pieces.limit(0)
+
+
 def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens)."""
     spark = docs.sparkSession
     if not splits_at_spaces(load(model)):
         raise ValueError("a piece of this model joins a space to a character before it")
     pieces = piece_counts(docs, model, text_col)
-    common_ones = pieces.where(F.length("piece") <= HOT_CHARS).orderBy(F.desc("n"), "piece").limit(hot).select("piece", "tokens").toPandas()
+    common_ones = most_frequent(pieces.where(F.length("piece") <= HOT_CHARS), hot).select("piece", "tokens").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(common_ones["piece"], common_ones["tokens"].tolist(), strict=True)))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
