@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tandem.llm import ngram_join, passages, quality_rules, secrets, token_counts, toxicity
+from tandem.llm import ngram_join, order_minhash, passages, quality_rules, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_counts, op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op3_token_counts, op5_order_minhash, op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
