@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tandem.llm import ngram_join, order_minhash, passages, quality_rules, secrets, token_counts, toxicity
+from tandem.llm import mixing, ngram_join, order_minhash, passages, quality_rules, secrets, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) from the labels: toxic, else poor or clean by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "clean")
+    return _table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+#: Shares of tokens by domain.
+TARGETS = {"clean": 0.90, "poor": 0.07, "toxic": 0.03}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), TARGETS)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
@@ -52,7 +67,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_token_counts, op5_order_minhash, op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_counts, op5_order_minhash, op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
