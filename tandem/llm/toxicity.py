@@ -1,9 +1,9 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Features of a whole text (JVM expressions only): density of a fixed lexicon of
-insults and of word stems learned from labelled rows, insults near a second-person
-pronoun, shares of capitals and shouted words, punctuation rates, and obfuscated
-spellings (digits or symbols inside a word, stretched letters, masked words).
+Features of a whole text, counted in one vectorised pass: density of a fixed lexicon
+of insults and of word stems learned from labelled rows, insults near a
+second-person pronoun, shares of capitals and shouted words, punctuation rates, and
+obfuscated spellings (digits or symbols inside a word, stretched letters).
 
 The trees learn from at most MAX_LABELLED labelled rows (those whose id hashes
 lowest), a fifth of them set aside to fit the calibration.  Scoring is one
@@ -17,11 +17,15 @@ smoothed share of label 1.  Repeated rows are scored one by one.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tandem.llm import common
 
@@ -36,39 +40,120 @@ LEXICON = (
 ).split()
 SECOND_PERSON = "you your yours yourself u ur thou".split()
 FEATURES = ("lexicon", "learned", "n_learned", "distinct", "near_you", "capitals", "shouted", "bangs", "stops", "masked", "stretched", "words")
-_EDGE_L, _EDGE_R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-
-
-def _any(words) -> str:
-    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
-
-
-def _hits(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
-
-
-def features(text: Column, learned: list[str]) -> dict[str, Column]:
-    """Dense features of a whole text as JVM expressions."""
-    raw = F.coalesce(text, F.lit(""))
-    low = F.lower(raw)
-    letters = F.length(raw) + F.lit(1.0)
-    words = _hits(raw, r"[^\x20\x09-\x0D]+") + 1.0
-    insult = _any(LEXICON)
-    out = {
-        "lexicon": _hits(low, f"{_EDGE_L}{insult}{_EDGE_R}") / words,
-        "learned": _hits(low, f"{_EDGE_L}{_any(learned)}") / words if learned else F.lit(0.0),
-        "n_learned": _hits(low, f"{_EDGE_L}{_any(learned)}") if learned else F.lit(0.0),
-        "distinct": F.size(F.array_distinct(F.regexp_extract_all(low, F.lit(f"{_EDGE_L}(?:{_any(LEXICON)}{_EDGE_R}" + (f"|{_any(learned)})" if learned else ")")), F.lit(0)))).cast("double"),
-        "near_you": _hits(low, f"{_EDGE_L}(?:{_any(SECOND_PERSON)}{_EDGE_R}.{{0,40}}?{_EDGE_L}{insult}|{insult}{_EDGE_R}.{{0,40}}?{_EDGE_L}{_any(SECOND_PERSON)}){_EDGE_R}") / words,
-        "capitals": (F.length(raw) - F.length(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / letters,
-        "shouted": _hits(raw, r"\b[A-Z]{3,}\b") / words,
-        "bangs": _hits(raw, "[!?]+") / words,
-        "stops": _hits(raw, "[.,;:]") / words,
-        "masked": _hits(raw, r"[A-Za-z][@$*#0-9]+[A-Za-z]") / words,
-        "stretched": _hits(low, r"([a-z])\1{2,}") / words,
-        "words": F.log1p(words),
-    }
-    return {k: out[k] for k in FEATURES}
+#: Words within which an insult is near a second-person pronoun.
+NEAR = 6
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_UPPER, _BANG, _STOP, _MASK = (np.zeros(256, bool) for _ in range(4))
+_UPPER[65:91] = True
+_BANG[[33, 63]] = True
+_STOP[[44, 46, 58, 59]] = True
+_MASK[[35, 36, 42, 64, *range(48, 58)]] = True
+_ALPHA = _LETTER.copy()
+_ALPHA[48:58] = False
+
+
+def _hash_words(words) -> np.ndarray:
+    """Hashes of words as `common.Spans` gives them, sorted."""
+    raw = [w.encode() for w in words]
+    if not raw:
+        return np.zeros(0, np.uint64)
+    end = np.cumsum([len(w) for w in raw])
+    return np.unique(common.Spans(np.frombuffer(b"".join(raw), np.uint8)).hash(np.concatenate(([0], end[:-1])), end))
+
+
+def _runs_of(flag: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of flagged bytes; runs break at edges."""
+    start = flag.copy()
+    start[1:] &= ~flag[:-1] | edge[1:-1]
+    stop = flag.copy()
+    stop[:-1] &= ~flag[1:] | edge[1:-1]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def _count(text: pa.Array, insults: np.ndarray, stems: tuple[np.ndarray, ...], you: np.ndarray) -> np.ndarray:
+    n = len(text)
+    out = np.zeros((len(FEATURES), n))
+    raw, off = common.utf8(text)
+    low, low_off = common.utf8(pc.utf8_lower(text.fill_null("") if text.null_count else text))
+    chars = np.diff(off) + 1.0
+    if not len(raw):
+        return out
+    total = lambda row, weight=None: np.bincount(row, weight, minlength=n)
+    row_at = lambda at, o: np.searchsorted(o, at, "right") - 1
+    edge = np.zeros(len(low) + 1, bool)
+    edge[low_off] = True
+    start, end = _runs_of(_LETTER[low], edge)
+    row = row_at(start, low_off)
+    spans = common.Spans(low)
+    whole = spans.hash(start, end)
+    insult = np.isin(whole, insults)
+    # the place of each word's k-th character, for stems of k characters
+    lead = np.flatnonzero((low & 0xC0) != 0x80)
+    first = np.searchsorted(lead, start)
+    lead = np.append(lead, [len(low)] * 8)
+    learned = np.zeros(len(start), bool)
+    for k, hashes in zip(STEMS, stems, strict=True):
+        stop = lead[first + k]
+        at = np.flatnonzero(stop <= end)
+        learned[at] |= np.isin(spans.hash(start[at], stop[at]), hashes)
+    words = total(row) + 1.0
+    out[0] = total(row, insult) / words
+    out[1] = total(row, learned) / words
+    out[2] = total(row, learned)
+    hit = insult | learned
+    kinds = np.unique(np.stack([row[hit].astype(np.uint64), whole[hit]]), axis=1)
+    out[3] = np.bincount(kinds[0].astype(np.int64), minlength=n)
+    mine, theirs = np.flatnonzero(insult), np.flatnonzero(np.isin(whole, you))
+    if len(mine) and len(theirs):
+        after = np.searchsorted(theirs, mine)
+        near = np.zeros(len(mine), bool)
+        for side in (np.minimum(after, len(theirs) - 1), np.maximum(after - 1, 0)):
+            near |= (np.abs(theirs[side] - mine) <= NEAR) & (row[theirs[side]] == row[mine])
+        out[4] = total(row[mine], near) / words
+    upper = np.flatnonzero(_UPPER[raw])
+    out[5] = total(row_at(upper, off)) / chars
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[off] = True
+    a, b = _runs_of(_UPPER[raw], edge)
+    shout = a[(b - a >= 3) & ((a == 0) | ~_LETTER[raw[a - 1]] | edge[a]) & ((b == len(raw)) | ~_LETTER[raw[np.minimum(b, len(raw) - 1)]])]
+    out[6] = total(row_at(shout, off)) / words
+    out[7] = total(row_at(_runs_of(_BANG[raw], edge)[0], off)) / words
+    out[8] = total(row_at(np.flatnonzero(_STOP[raw]), off)) / words
+    a, b = _runs_of(_MASK[raw], edge)
+    inside = (a > 0) & (b < len(raw))
+    a, b = a[inside], b[inside]
+    a = a[_ALPHA[raw[a - 1]] & _ALPHA[raw[b]] & ~edge[a] & ~edge[b]]
+    out[9] = total(row_at(a, off)) / words
+    if len(low) > 2:
+        same = _ALPHA[low[2:]] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & ~edge_of(low_off, len(low))[2:-1] & ~edge_of(low_off, len(low))[1:-2]
+        at, _ = _runs_of(same, np.zeros(len(same) + 1, bool))
+        out[10] = total(row_at(at, low_off)) / words
+    out[11] = np.log1p(words)
+    return out
+
+
+def edge_of(off: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n + 1, bool)
+    out[off] = True
+    return out
+
+
+#: Lengths of learned stems, in characters.
+STEMS = (4, 6)
+
+
+def features(learned: list[str]):
+    """A function of a text column: the struct of FEATURES of each whole text."""
+
+    @F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in FEATURES]))
+    def count(text: pa.Array) -> pa.Array:
+        insults, you = _hash_words(LEXICON), _hash_words(SECOND_PERSON)
+        stems = tuple(_hash_words([w for w in learned if len(w) == k]) for k in STEMS)
+        parts = [_count(text.slice(a, n), insults, stems, you) for a, n in common.slices(text)] or [np.zeros((len(FEATURES), 0))]
+        return pa.StructArray.from_arrays([pa.array(x) for x in np.concatenate(parts, axis=1)], list(FEATURES))
+
+    return count
 
 
 def learned_stems(rows: DataFrame, most: int = MAX_LEARNED) -> list[str]:
@@ -139,11 +224,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = common.cut(plain.join(F.broadcast(marks), "doc_id"))
     aside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
     learned = learned_stems(rows.where(~aside))
+    count = features(learned)
     vector = lambda df: VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(df)
-    sample = vector(common.cut(rows.repartition(8).select("doc_id", F.col("label").cast("double").alias("label"), *[c.alias(k) for k, c in features(F.col("text"), learned).items()])))
+    sample = vector(common.cut(rows.select("doc_id", F.col("label").cast("double").alias("label"), count(F.col("text")).alias("f")).select("doc_id", "label", "f.*")))
     train, hold = sample.where(~aside).cache(), sample.where(aside)
     n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    out = plain.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), *[c.alias(k) for k, c in features(F.col("text"), learned).items()])
+    out = plain.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), count(F.col("text")).alias("f")).select("doc_id", "held_out", "f.*")
     if len(n) < 2:
         score = F.lit((n.get(1.0, 0) + 0.5) / (sum(n.values()) + 1))
         return out.select("doc_id", "held_out", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
