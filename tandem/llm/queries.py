@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import mixing, ngram_join, order_minhash, passages, quality_rules, secrets, token_counts, toxicity
+from tandem.llm import mixing, ngram_join, order_minhash, passages, quality_rules, secrets, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,29 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+#: A dated block and allow list over the hosts of the fixture (fixed values, in natural order).
+LISTED = (
+    ("domain", "example.net", "block", "2024-01-20 00:00:00"),
+    ("domain", "example.net", "remove", "2024-01-22 12:00:00"),
+    ("domain", "spam-farm.example.org", "block", "2023-12-01 00:00:00"),
+    ("domain", "cheap-pills.example.com", "block", "2024-01-03 06:00:00"),
+    ("domain", "cheap-pills.example.com", "remove", "2024-01-12 00:00:00"),
+    ("domain", "cheap-pills.example.com", "block", "2024-01-18 00:00:00"),
+    ("host", "www.cheap-pills.example.com", "allow", "2024-01-19 00:00:00"),
+    ("host", "www.cheap-pills.example.com", "remove", "2024-01-25 00:00:00"),
+    ("prefix", "spam-farm.example.org/en", "allow", "2024-01-10 00:00:00"),
+    ("prefix", "www.cheap-pills.example.com/fr", "block", "2024-01-21 00:00:00"),
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch time; each gets one in January 2024 from its id, 37 minutes apart, around 30 days."""
+    seconds = F.pmod(F.col("page_id") * 2220, F.lit(30 * 86400))
+    captures = _table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + seconds).cast("timestamp_ntz").alias("fetched_at"))
+    entries = spark.createDataFrame(LISTED, "scope string, pattern string, action string, listed_at string")
+    return url_filter.judge(captures, entries)
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -67,9 +90,40 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_counts, op5_order_minhash, op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_counts, op4_url_filter, op5_order_minhash, op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the corpus queries that DuckDB can express; the others are tested against brute force."""
-    return {}
+    rows = ", ".join(f"('{s}', '{p}', '{a}', TIMESTAMP '{t}')" for s, p, a, t in LISTED)
+    return {"op4_url_filter": URL_SQL.replace("{rows}", rows)}
+
+
+URL_SQL = """
+WITH log(scope, pattern, action, valid_from) AS (VALUES {rows}),
+spans AS (
+  SELECT scope, pattern, action, valid_from, lead(valid_from, 1, TIMESTAMP '9999-12-31') OVER (PARTITION BY scope, pattern ORDER BY valid_from) AS valid_to FROM log
+),
+parts AS (
+  SELECT page_id, TIMESTAMP '2024-01-01' + to_seconds(((page_id * 2220) % 2592000)::BIGINT) AS fetched_at,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 1)), '\\.$', '') AS host,
+    regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 2), '/+$', '') AS path
+  FROM pages
+),
+met AS (
+  SELECT page_id, action, scope || ':' || pattern AS key,
+    CASE scope WHEN 'url' THEN 3000 WHEN 'prefix' THEN 2000 + len(string_split(pattern, '/')) WHEN 'host' THEN 1000 ELSE len(string_split(pattern, '.')) END AS width
+  FROM parts JOIN spans ON valid_from <= fetched_at AND fetched_at < valid_to AND CASE scope
+    WHEN 'domain' THEN host = pattern OR ends_with(host, '.' || pattern)
+    WHEN 'host' THEN host = pattern
+    WHEN 'url' THEN lower(host || path) = pattern
+    ELSE lower(host || path) = pattern OR starts_with(lower(host || path), pattern || '/') END
+),
+best AS (
+  SELECT page_id, key, action FROM met
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY width DESC, (action = 'allow') DESC, key DESC) = 1
+)
+SELECT p.page_id, p.host, p.fetched_at,
+  CASE WHEN p.host = '' THEN 'invalid' WHEN b.action = 'block' THEN 'blocked' WHEN b.action = 'allow' THEN 'allowed' ELSE 'kept' END AS status, b.key AS entry
+FROM parts p LEFT JOIN best b USING (page_id)
+"""
