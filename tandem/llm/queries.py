@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import mixing, ngram_join, order_minhash, passages, quality_rules, secrets, token_counts, toxicity, url_filter
+from tandem.llm import mixing, ngram_join, order_minhash, passages, piece_lattice, quality_rules, secrets, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,8 +89,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_counts, op4_url_filter, op5_order_minhash, op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan)}
+    ops = (
+        op1_toxicity, op2_mixing, op3_token_counts, op4_url_filter, op5_order_minhash,
+        op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan, op10_sentencepiece,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
