@@ -33,6 +33,10 @@ BINS, WORDS = 8, 256
 #: Labelled rows the classifier is fitted on at most (those whose id hashes lowest).
 MAX_LABELLED = 20_000
 STATISTICS = ("length", "word_length", "symbols", "capitals", "digits", "bangs", "bars", "line_length")
+#: Weight, in labelled rows, of all domains together in each domain's likelihoods.
+PULL = 5.0
+#: Words of a text are not independent; each counts by this share, so that one word alone does not decide.
+TEMPER = 0.3
 STEPS, TOLERANCE = 40, 1e-4
 
 
@@ -92,17 +96,22 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col:
     cuts = {k: tuple(sorted(set(quantiles[k]))) for k in STATISTICS}
     binned = table.select("_domain", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _bin_of(F.col(k), cuts[k]).alias("b")) for k in STATISTICS])).alias("x"))
     seen = {(r["_domain"], r["k"], r["b"]): r["count"] for r in binned.groupBy("_domain", "x.k", "x.b").count().collect()}
+    # a domain with few labels is drawn towards all labelled rows
+    whole = {(k, b): sum(seen.get((d, k, b), 0) for d in names) / n for k in STATISTICS for b in range(BINS)}
     bins = {
-        k: tuple(tuple(float(np.log((seen.get((d, k, b), 0) + 1.0) / (total.get(d, 0) + len(cuts[k]) + 1.0))) for b in range(len(cuts[k]) + 1)) for d in names)
+        k: tuple(tuple(float(np.log((seen.get((d, k, b), 0) + PULL * max(whole[k, b], 1e-4)) / (total.get(d, 0) + PULL))) for b in range(len(cuts[k]) + 1)) for d in names)
         for k in STATISTICS
     }
     # words: document frequencies by domain; those with the most information, WORDS at most
     counts = table.select("_domain", F.explode("_words").alias("w")).groupBy("w").agg(*[F.sum((F.col("_domain") == d).cast("int")).alias(f"c{i}") for i, d in enumerate(names)])
     all_of = sum((F.col(f"c{i}") for i in range(1, len(names))), F.col("c0"))
-    ratios = [F.log(((F.col(f"c{i}") + 0.5) / (total.get(d, 0) + 1.0)) / ((all_of + 0.5) / (n + 1.0))) for i, d in enumerate(names)]
+    rate = (all_of + 0.5) / (n + 1.0)
+    ratios = [F.log((F.col(f"c{i}") + PULL * rate) / ((total.get(d, 0) + PULL) * rate)) for i, d in enumerate(names)]
     weight = sum((F.col(f"c{i}") * F.greatest(r, F.lit(0.0)) for i, r in enumerate(ratios) if i), F.col("c0") * F.greatest(ratios[0], F.lit(0.0)))
     scored = counts.where(all_of >= 3).select("w", *[F.least(F.greatest(r, F.lit(-3.0)), F.lit(3.0)).alias(f"l{i}") for i, r in enumerate(ratios)], weight.alias("weight"))
-    words = common.cut(scored.where("weight > 4").orderBy(F.desc("weight"), "w").limit(WORDS).drop("weight"))
+    # a word that is only a little more frequent in a domain says more about a text's length than about its domain
+    telling = F.greatest(*[F.col(f"l{i}") for i in range(len(names))], F.lit(0.0)) >= float(np.log(4))
+    words = common.cut(scored.where((F.col("weight") > 15) & telling).orderBy(F.desc("weight"), "w").limit(WORDS).drop("weight"))
     return Domains(tuple(names), priors, cuts, bins, words)
 
 
@@ -117,7 +126,6 @@ def posteriors(docs: DataFrame, domains: Domains, text_col: str = "text") -> tup
     stats = statistics(F.col(text_col), F.size(hits))
     places = F.transform(F.array_intersect(hits, keys), lambda x: F.array_position(keys, x).cast("int") - 1)
     seen = hashed.select(*docs.columns, F.size(hits).cast("long").alias(tokens), places.alias(hits), F.struct(*[c.alias(n) for n, c in stats.items()]).alias(stat))
-    damp = F.sqrt(F.size(hits) + F.lit(1.0)) / 2.0  # words are not independent: their sum counts by its root
     added = lambda weights: F.aggregate(F.col(hits), F.lit(0.0), lambda acc, x: acc + F.get(weights, x))
     scores = []
     for i in range(k):
@@ -125,7 +133,7 @@ def posteriors(docs: DataFrame, domains: Domains, text_col: str = "text") -> tup
         for name, cuts in domains.cuts.items():
             s = s + F.get(F.array(*[F.lit(x) for x in domains.bins[name][i]]), _bin_of(F.col(f"{stat}.{name}"), cuts))
         if table:
-            s = s + added(numbers([v[i] for _, v in table], "double")) / damp
+            s = s + added(numbers([v[i] for _, v in table], "double")) * TEMPER
         scores.append(s)
     raised = seen.select(*docs.columns, tokens, F.array(*scores).alias(z))
     raised = raised.withColumn(z, F.transform(z, lambda x: F.exp(x - F.array_max(z))))
