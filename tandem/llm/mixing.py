@@ -6,8 +6,8 @@
 2. ``posteriors`` gives every document its probability of each domain.
 3. ``fit_rates`` finds nonnegative rates r that minimise ||A r - T||^2 by projected
    gradient, where A[k, d] is the tokens of document d times its probability of
-   domain k, and T the targets.  A step needs only the K expected totals, which one
-   aggregation over (tokens, posteriors) gives; the driver sees K numbers a step.
+   domain k, and T the targets.  A step needs only the K expected totals and K*K
+   moments, which one aggregation over (tokens, posteriors) gives.
 
 Main path: DataFrame functions only.
 
@@ -15,7 +15,8 @@ Defined edge cases: null and empty texts have no tokens and cannot help a target
 so their rate stays at the start value 1; null labels and labels of missing
 documents are ignored, several labels of a document count each; without labelled
 documents every posterior is uniform over the targets' domains; a target of a
-domain no document can be in is left unmet.  Repeated rows each have a rate.
+domain no document can be in is left unmet, and targets that no rates can meet are
+approached for STEPS trials at most.  Repeated rows each have a rate.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ STATISTICS = ("length", "word_length", "symbols", "capitals", "digits", "bangs",
 PULL = 5.0
 #: Words of a text are not independent; each counts by this share, so that one word alone does not decide.
 TEMPER = 0.3
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, TOLERANCE = 60, 1e-4
+#: A rate up to this one that the gradient would lower is held at zero.
+BOUND = 1e-3
 
 
 def words_of(text: Column) -> Column:
@@ -142,55 +145,65 @@ def posteriors(docs: DataFrame, domains: Domains, text_col: str = "text") -> tup
 
 @dataclass(frozen=True)
 class Rates:
-    """The rate of a document is the projected walk from 1 along `steps`, a list of K step sizes each."""
+    """The rate of a document is the projected walk from 1 along `steps`: of each, the miss by domain and the move."""
 
-    steps: tuple[tuple[float, ...], ...]
+    steps: tuple[tuple[tuple[float, ...], tuple[float, ...]], ...]
     totals: tuple[float, ...]
     targets: tuple[float, ...]
 
     def column(self, p: str = "p") -> Column:
-        path = F.array(*[F.array(*[F.lit(x) for x in s]) for s in self.steps]) if self.steps else F.array().cast("array<array<double>>")
-        along = lambda s: F.aggregate(F.zip_with(F.col(p), s, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return F.aggregate(path, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - along(s)))
+        if not self.steps:
+            return F.lit(1.0)
+        path = F.from_json(F.lit(repr([[list(miss), list(move)] for miss, move in self.steps])), "array<array<array<double>>>")
+        along = lambda v: sum((F.col(p)[i] * v[i] for i in range(1, len(self.targets))), F.col(p)[0] * v[0])
+        held = lambda r, s: (r <= BOUND) & (along(s[0]) > 0)
+        return F.aggregate(path, F.lit(1.0), lambda r, s: F.when(held(r, s), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), r - along(s[1]))))
 
 
 def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
-    """Projected gradient on ||A r - T||^2 from r = 1, one aggregation of K and K*K sums a step.
-
-    The gradient for document d is tokens_d * p_d . (A r - T); it is scaled by
-    1 / tokens_d, so a step moves all documents of equal posteriors alike, and by the
-    inverse of A_free A_free' over documents not held at zero, so a step is a Newton
-    step for these.  Steps that do not lower the residual are halved.
+    """Projected gradient on ||A r - T||^2 from r = 1, one aggregation of K and K*K sums a trial.
+
+    The gradient for document d is tokens_d * p_d . (A r - T), scaled by 1 / tokens_d, so
+    that documents of equal posteriors move alike.  Documents at zero that it would lower
+    further stay there; the others first try the Newton move, the miss times the inverse
+    of A A' over the positive rates, shortened twice if the residual does not fall.  The
+    plain gradient move, no longer than the inverse of the largest eigenvalue of A A',
+    always lowers it; the walk ends when that one gains less than the tolerance.
     """
     k = len(targets)
     goal = np.array(targets, float)
-    done: list[tuple[float, ...]] = []
 
     def totals(path: list) -> tuple[np.ndarray, np.ndarray]:
-        rated = soft.where("tokens > 0").select("tokens", "p", Rates(tuple(path), (), ()).column().alias("r"))
+        rated = soft.where("tokens > 0").select("tokens", "p", Rates(tuple(path), (), tuple(targets)).column().alias("r"))
         row = rated.agg(
             *[F.sum(F.col("tokens") * F.col("r") * F.col("p")[i]).alias(f"t{i}") for i in range(k)],
-            *[F.sum(F.when(F.col("r") > 0, F.col("tokens") * F.col("p")[i] * F.col("p")[j])).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)],
+            *[F.sum(F.when(F.col("r") > BOUND, F.col("tokens") * F.col("p")[i] * F.col("p")[j])).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)],
         ).first()
         t = np.array([row[f"t{i}"] or 0.0 for i in range(k)])
         m = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         return t, m
 
+    done: list = []
     now, gram = totals(done)
     size = max(1.0, float(np.abs(goal).sum()))
-    share = 1.0
-    for _ in range(steps):
+    widest = max(1e-12, float(np.linalg.eigvalsh(gram)[-1]))
+    tried = 0
+    while tried < steps and np.abs(now - goal).max() > tolerance * size:
         miss = now - goal
-        if np.abs(miss).max() <= tolerance * size or share < 1e-3:
+        newton = np.linalg.solve(gram + 1e-9 * max(1e-12, float(np.trace(gram))) * np.eye(k), miss)
+        for n, move in enumerate((newton, newton / 4, newton / 16, miss / widest)):
+            step = (tuple(miss.tolist()), tuple(move.tolist()))
+            trial, trial_gram = totals([*done, step])
+            tried += 1
+            gain = np.linalg.norm(miss) - np.linalg.norm(trial - goal)
+            if gain > (tolerance * size if n < 3 else 0):
+                break
+        if gain <= 0:
+            break
+        done.append(step)
+        now, gram = trial, trial_gram
+        if gain < 0.1 * tolerance * size:
             break
-        ridge = 1e-9 * max(1e-12, float(np.trace(gram)))
-        step = share * np.linalg.solve(gram + ridge * np.eye(k), miss)
-        trial, trial_gram = totals([*done, tuple(step.tolist())])
-        if np.linalg.norm(trial - goal) < np.linalg.norm(miss):
-            done.append(tuple(step.tolist()))
-            now, gram, share = trial, trial_gram, 1.0
-        else:
-            share /= 2
     return Rates(tuple(done), tuple(now.tolist()), tuple(goal.tolist()))
 
 

@@ -21,7 +21,8 @@ Main path: DataFrame functions only.
 Defined edge cases: a null or unparsable URL has no host and is kept, with status
 ``invalid``; a null fetch time is judged by the latest entries; entries with a
 null field are ignored; of entries of one scope, pattern and time the order
-remove, block, allow decides (the last holds).  Repeated captures each give a row.
+remove, block, allow decides (the last holds); a final slash or dot of a pattern
+does not count.  Repeated captures each give a row.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tandem.llm import common
 
-HOT, SALTS, MAX_SEGMENTS = 100_000, 64, 8
+HOT, SALTS = 100_000, 64
 _FAR = "9999-12-31"
 
 
@@ -46,26 +47,28 @@ def url_parts(url: Column) -> dict[str, Column]:
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, scope, action, valid_from, valid_to) of the block and allow entries of a dated list."""
     rank = F.when(F.col("action") == "remove", 0).when(F.col("action") == "block", 1).otherwise(2)
-    log = entries.select("scope", F.lower(F.trim("pattern")).alias("pattern"), "action", F.col("listed_at").cast("timestamp_ntz").alias("valid_from")).dropna()
+    bare = F.regexp_replace(F.lower(F.trim("pattern")), F.when(F.col("scope").isin("prefix", "url"), "/+$").otherwise(r"\.+$"), F.lit(""))
+    log = entries.select("scope", bare.alias("pattern"), "action", F.col("listed_at").cast("timestamp_ntz").alias("valid_from")).dropna()
     log = log.groupBy("scope", "pattern", "valid_from").agg(F.max_by("action", rank).alias("action"))
     until = F.lead("valid_from").over(Window.partitionBy("scope", "pattern").orderBy("valid_from"))
     spans = log.withColumn("valid_to", F.coalesce(until, F.lit(_FAR).cast("timestamp_ntz"))).where("action <> 'remove'")
     return spans.select(F.concat_ws(":", "scope", "pattern").alias("key"), "scope", "action", "valid_from", "valid_to")
 
 
-def keys_of(host: Column, path: Column, whole: Column) -> Column:
-    """All keys that could be listed for a URL, each with its width: array<struct<key, width>>."""
+def keys_of(host: Column, path: Column, whole: Column, deepest: int | None) -> Column:
+    """All keys that could be listed for a URL, each with its width: array<struct<key, width>>.
+
+    deepest is the greatest number of path segments of any listed prefix, None without one.
+    """
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, n - i + 1, i), ".")).alias("key"), i.alias("width")))
+    own = F.array(F.struct(F.concat(F.lit("host:"), host).alias("key"), F.lit(1000).alias("width")), F.struct(F.concat(F.lit("url:"), F.lower(whole)).alias("key"), F.lit(1 << 30).alias("width")))
+    if deepest is None:
+        return F.concat(suffixes, own)
     segments = F.split(F.lower(path), "/")
-    m = F.least(F.size(segments) - 1, F.lit(MAX_SEGMENTS))
-    prefixes = F.when(
-        m >= 1,
-        F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda i: F.struct(F.concat(F.lit("prefix:"), host, F.array_join(F.slice(segments, 1, i + 1), "/")).alias("key"), (i + 2000).alias("width"))),
-    ).otherwise(F.array().cast("array<struct<key:string,width:int>>"))
-    own = F.array(F.struct(F.concat(F.lit("host:"), host).alias("key"), F.lit(1000).alias("width")), F.struct(F.concat(F.lit("url:"), F.lower(whole)).alias("key"), F.lit(3000).alias("width")))
-    return F.concat(suffixes, prefixes, own)
+    lead = lambda i: F.struct(F.concat(F.lit("prefix:"), host, F.array_join(F.slice(segments, 1, i + 1), "/")).alias("key"), (i + 2001).alias("width"))
+    return F.concat(suffixes, F.transform(F.sequence(F.lit(0), F.least(F.size(segments) - 1, F.lit(deepest))), lead), own)
 
 
 def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -76,8 +79,9 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     row = F.monotonically_increasing_id()
     table = common.cut(base.withColumn("row", row))
     spans = common.cut(intervals(entries))
+    deepest = spans.where("scope = 'prefix'").agg(F.max(F.size(F.split("key", "/")) - 1).alias("n")).first()["n"]
     at = F.coalesce("fetched_at", F.lit("9999-12-30").cast("timestamp_ntz"))
-    asked = table.where("host <> ''").select("row", at.alias("at"), F.explode(keys_of(F.col("host"), F.col("path"), F.col("whole"))).alias("k")).select("row", "at", "k.key", "k.width")
+    asked = table.where("host <> ''").select("row", at.alias("at"), F.explode(keys_of(F.col("host"), F.col("path"), F.col("whole"), deepest)).alias("k")).select("row", "at", "k.key", "k.width")
     # only keys that are listed can meet; counting them first finds the hot ones
     listed = spans.select("key").distinct()
     hot = asked.join(listed, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(SALTS).alias("salts"))

@@ -263,8 +263,8 @@ def plain_status(url, at, log):
 
 
 def test_url_filter(spark, monkeypatch):
-    log = [(s, p, a, t) for s, p, a, t in queries.LISTED] + [("url", "a.example.com/x/y", "block", "2024-01-05 00:00:00")]
-    urls = ["http://www.cheap-pills.example.com/fr/1?x", "https://spam-farm.example.org/en/2/", "https://spam-farm.example.org:80/es", "http://U@A.example.com./x/Y/#f", "http://a.example.com/x/y/z", "nonsense", None, "", "http://m.blog.example.net/q"]
+    log = [(s, p, a, t) for s, p, a, t in queries.LISTED] + [("url", "a.example.com/x/y", "block", "2024-01-05 00:00:00"), ("prefix", "deep.example.com/1/2/3/4/5/6/7/8/9/10/11", "block", "2024-01-01 00:00:00"), ("prefix", "m.blog.example.net", "allow", "2024-01-21 00:00:00")]
+    urls = ["http://www.cheap-pills.example.com/fr/1?x", "https://spam-farm.example.org/en/2/", "https://spam-farm.example.org:80/es", "http://U@A.example.com./x/Y/#f", "http://a.example.com/x/y/z", "nonsense", None, "", "http://m.blog.example.net/q", "http://deep.example.com/1/2/3/4/5/6/7/8/9/10/11/12", "http://deep.example.com/1/2/3/4/5/6/7/8/9/10"]
     times = ["2023-12-31 00:00:00", "2024-01-04 00:00:00", "2024-01-12 00:00:00", "2024-01-19 12:00:00", "2024-01-21 00:00:00", "2024-01-30 00:00:00", None]
     rows = [(i, u, t, "k", "v") for i, (u, t) in enumerate((u, t) for u in urls for t in times)]
     captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at string, key string, host string")
@@ -276,3 +276,14 @@ def test_url_filter(spark, monkeypatch):
     assert url_filter.judge(captures.limit(0), entries).count() == 0
     assert {r["status"] for r in url_filter.judge(captures, entries.limit(0)).collect()} == {"kept", "invalid"}
 
+
+def test_url_query_matches_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{DATA}/pages.parquet'")
+    result = con.execute(queries.oracle_sql()["op4_url_filter"])
+    names = [x[0] for x in result.description]
+    df = queries.op4_url_filter(spark, DATA)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == sorted(result.fetchall(), key=repr)
