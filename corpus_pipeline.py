@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tandem.llm import common, mixing, ngram_join, piece_lattice, quality_rules, queries, secrets
 
 #: How often a document's share in each domain is to count after mixing: clean text gains, the rest shrinks.
-FACTORS = {"clean": 1.25, "poor": 0.5, "toxic": 0.25}
+#: A document as likely clean as poor counts once, so that no clean one goes for a doubtful posterior.
+FACTORS = {"clean": 1.25, "poor": 0.75, "toxic": 0.25}
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
