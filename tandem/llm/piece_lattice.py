@@ -23,6 +23,7 @@ UTF-8 decode with U+FFFD; repeated rows each give a row; other columns pass thro
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -36,7 +37,9 @@ from tandem.llm import common
 from tandem.llm.token_counts import load, pretokens, splits_at_spaces
 
 SPACE = "▁"
-WORDS_KEPT, BATCH_BYTES = 500_000, 12 << 20
+WORDS_KEPT, BATCH_BYTES = 200_000, 6 << 20
+#: Characters of new words that are indexed at once (a longer word stands alone): bounds the suffix array and the edges.
+BLOCK_CHARS = 1 << 19
 _NEVER = np.int64(1 << 40)
 
 
@@ -274,6 +277,18 @@ def encode_words(v: Vocabulary, words: list[str]) -> list[bytes]:
     return out
 
 
+def _blocks(words: list[str]) -> Iterator[list[str]]:
+    block, chars = [], 0
+    for w in words:
+        if block and chars + len(w) + 1 > BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+        block.append(w)
+        chars += len(w) + 1
+    if block:
+        yield block
+
+
 class Encoder:
     """Encodes texts of one task, keeping the ids of words seen lately."""
 
@@ -286,8 +301,8 @@ class Encoder:
             here = {w for words in split for w in words}
             self.known = {w: ids for w, ids in self.known.items() if w in here}
         new = list({w for words in split for w in words if w not in self.known})
-        if new:
-            self.known.update(zip(new, encode_words(self.v, new), strict=True))
+        for block in _blocks(new):
+            self.known.update(zip(block, encode_words(self.v, block), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 

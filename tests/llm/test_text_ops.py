@@ -55,9 +55,11 @@ def test_token_counts_match_the_library(spark, docs, odd, library):
     assert token_counts.token_counts(docs.limit(0), queries.tokenizer_file(queries.PIECE_MODEL)).count() == 0
 
 
-def test_lattice_matches_the_library(library):
+@pytest.mark.parametrize("block", [piece_lattice.BLOCK_CHARS, 300])
+def test_lattice_matches_the_library(library, monkeypatch, block):
+    monkeypatch.setattr(piece_lattice, "BLOCK_CHARS", block)
     path = queries.tokenizer_file(queries.PIECE_MODEL)
-    texts = [t for t in ODD if t] + mess(800, 3)
+    texts = [t for t in ODD if t] + mess(800 if block > 300 else 40, 3)
     got = [np.frombuffer(x, np.int32).tolist() for x in piece_lattice.Encoder(path)(texts)]
     assert got == library.encode(texts)
     v = piece_lattice.vocabulary(path)
