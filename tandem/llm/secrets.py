@@ -9,7 +9,9 @@ key adds nearly as many as it has characters of entropy.
 
 Offsets are code points, ends exclusive.  Defined edge cases: a null or empty
 text has no spans; repeated rows are scanned one by one; a ``novel`` span that
-overlaps a base span is not reported again; other columns pass through.
+a base span covers is not reported again; other columns pass through.  Strings that
+adjoin a novel one (the next lines of a key) are as sensitive as it is, and the body
+of a private key is taken whole up to its end line.
 """
 
 from __future__ import annotations
@@ -30,8 +32,13 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-#: Strings worth weighing: 16 or more characters of a key's alphabet, a letter and a digit among them.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=.-]{0,64}[0-9])(?=[0-9+/_=.-]{0,64}[A-Za-z])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")
+#: Strings worth weighing: 16 or more characters of a key's alphabet, dots between them, a letter and a digit among them.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
+#: The body of a private key, and what may stand between lines of one key.
+PRIVATE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+BETWEEN = re.compile(r"""(?:\\[nrt]?|[\s"'+,;])*""")
 #: Words that make their surroundings sensitive.
 SENSITIVE = re.compile(r"secret|token|passw|api.?key|access.?key|private.?key|credential|auth|bearer|signature|client.?id|AKIA|ssh-|-----BEGIN", re.IGNORECASE | re.ASCII)
 #: Identifier and code text that primes the compressor (fixed values, in natural order).
@@ -60,6 +67,8 @@ def main(self): return None; public static void function(const char* argument) {
 import os import sys from typing import Any; SELECT * FROM table WHERE id = 1; <div class="container"></div> /usr/local/bin
 """.encode()
 WINDOW = 96
+#: Characters of a long candidate that are weighed at a time.
+CHUNK = 512
 #: A candidate is reported when it adds at least this share of its own bytes.
 MIN_NOVELTY = 0.60
 
@@ -90,18 +99,63 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 
+def _mixed(word: str) -> bool:
+    return len(word) >= 16 and DIGIT.search(word) is not None and LETTER.search(word) is not None
+
+
+def _novel(text: str, a: int, b: int, near: str, novelty: Novelty, least: float) -> bool:
+    """Whether the string a..b, one of its parts between dots, or a chunk of a long one is novel."""
+    word = text[a:b]
+    if not _mixed(word):
+        return False
+    parts = [word, *word.split(".")] if "." in word else [word]
+    return any(novelty(near, x[i : i + CHUNK]) >= least for x in parts if _mixed(x) for i in range(0, len(x), CHUNK) if _mixed(x[i : i + CHUNK]))
+
+
+def _private_keys(text: str) -> list[tuple[int, int]]:
+    """Runs in the bodies of private keys that have an end line, however short the last one is."""
+    out, end = [], 0
+    for m in PRIVATE.finditer(text):
+        stop = text.find("-----END", m.end())
+        if stop < 0:
+            break
+        if m.end() >= end:
+            runs = [r.span() for r in RUN.finditer(text, m.end(), stop)]
+            big = next((i for i, (a, b) in enumerate(runs) if b - a >= 16), len(runs))
+            out += runs[big:]
+            end = stop
+    return out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = MIN_NOVELTY) -> list[tuple[int, int, int]]:
     out = []
     if not SENSITIVE.search(text):
         return out
+    keys = _private_keys(text) if "-----BEGIN" in text else []
+    inside = iter(keys)
+    key = next(inside, None)
+    last = None  # where the last novel string ended: strings that adjoin it are as sensitive
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, _, y in base):
+        word = m[0].strip(".")
+        a = m.start() + m[0].index(word) if word else m.start()
+        b = a + len(word)
+        if len(word) < 16:
+            continue
+        while key and key[1] <= a:
+            key = next(inside, None)
+        if key and key[0] < b:
+            continue  # taken whole below
+        over = [(x, y) for x, _, y in base if x < b and a < y]
+        # a base span takes the string; one that reaches beyond it is weighed as a whole
+        if over and max(y for _, y in over) >= b and min(x for x, _ in over) - a < 16:
             continue
         near = text[max(0, a - WINDOW) : a] + " " + text[b : b + WINDOW // 2]
-        if SENSITIVE.search(near) and novelty(near, m[0]) >= least:
+        carried = last is not None and a - last <= WINDOW and BETWEEN.fullmatch(text, last, a) is not None
+        if (carried or SENSITIVE.search(near)) and _novel(text, a, b, near, novelty, least):
             out.append((a, 3, b))
-    return out
+            last = b
+    out += [(a, 3, b) for a, b in keys if not any(x <= a and b <= y for x, _, y in base)]
+    return sorted(out)
 
 
 def show(spans: list[tuple[int, int, int]]) -> str:
