@@ -1,6 +1,6 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
-A batch's new pre-tokens are concatenated and indexed by a suffix array over as many
+The distinct pre-tokens of a batch of texts are concatenated and indexed by a suffix array over as many
 characters as the longest piece has.  Every piece of the vocabulary is looked up in
 it by binary search, all pieces at once, which gives its range of occurrences.  The
 occurrences are the edges of a lattice; they are sorted by where they end in their
@@ -12,7 +12,10 @@ prefix just if merging would leave the border between its last piece and the edg
 piece alone.  That is decided by undoing merges on both sides, the latest first, and
 asking whether one over the border would have come earlier.
 
-Words seen lately are kept with their ids, WORDS_KEPT at most in a task.
+A pre-token longer than LONG characters is relaxed in overlapping windows side by side: two
+windows that have a token in common continue each other there, for a sequence of
+pieces is the encoding just if all neighbours in it are apart.  Where two windows
+have none in common the whole pre-token is relaxed at once.
 
 Defined edge cases: null and empty texts have no ids; a character that no piece has
 becomes the pieces of its bytes; U+2581 in a text encodes, as in the library, as a
@@ -29,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,9 +41,11 @@ from tandem.llm import common
 from tandem.llm.token_counts import load, pretokens, splits_at_spaces
 
 SPACE = "▁"
-WORDS_KEPT, BATCH_BYTES = 200_000, 6 << 20
-#: Characters of new words that are indexed at once (a longer word stands alone): bounds the suffix array and the edges.
-BLOCK_CHARS = 1 << 19
+BATCH_BYTES = 4 << 20
+#: Characters of pre-tokens that are indexed at once (a longer word stands alone): bounds the suffix array and the edges.
+BLOCK_CHARS = 1 << 18
+#: Longest pre-token relaxed in one go, and the step and overlap of the windows of longer ones.
+LONG, STEP, OVERLAP = 4096, 1024, 256
 _NEVER = np.int64(1 << 40)
 
 
@@ -58,7 +64,9 @@ class Vocabulary:
     byte_ids: list[int]
     runs: dict[int, int]  # number of spaces -> id of the piece of so many
     raw: list[bytes]  # id -> its bytes when decoded
-    merges: list[int]
+    raw_bytes: np.ndarray  # all of them in a row, and of each id the start and the number
+    raw_start: np.ndarray
+    raw_size: np.ndarray
 
 
 def _merge(text: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -111,11 +119,12 @@ def vocabulary(path: str) -> Vocabulary:
     key = left[first : size - 1] * size + right[first : size - 1]
     by = np.argsort(key)
     raw = [bytes([int(piece[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else piece[i].replace(SPACE, " ").encode() for i in range(n)]
+    sizes = np.array([len(r) for r in raw])
     byte_ids = [0] * 256
     for i in range(n):
         if model.is_byte(i):
             byte_ids[int(piece[i][3:5], 16)] = i
-    return Vocabulary(np.array(ids), chars, length, left, right, key[by], (first + np.arange(len(kept)))[by], by_piece, byte_ids, runs, raw, kept)
+    return Vocabulary(np.array(ids), chars, length, left, right, key[by], (first + np.arange(len(kept)))[by], by_piece, byte_ids, runs, raw, np.frombuffer(b"".join(raw), np.uint8), sizes.cumsum() - sizes, sizes)
 
 
 def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
@@ -204,76 +213,118 @@ def apart(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _run(v: Vocabulary, m: int) -> list[int]:
-    """Ids of m spaces: pieces of spaces share one score, so the leftmost pair that makes a piece merges first."""
-    parts = [1] * m
-    while True:
-        at = next((i for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in v.runs), None)
-        if at is None:
-            return [v.runs[p] for p in parts]
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    """Ids of m spaces: pieces of spaces share one score, so the leftmost pair that makes a piece merges first.
 
+    Nothing on the stack can merge, so the leftmost pair is always its top and the next space.
+    """
+    parts: list[int] = []
+    for _ in range(m):
+        parts.append(1)
+        while len(parts) > 1 and parts[-2] + parts[-1] in v.runs:
+            parts[-2:] = [parts[-2] + parts[-1]]
+    return [v.runs[p] for p in parts]
 
-def encode_words(v: Vocabulary, words: list[str]) -> list[bytes]:
-    """Ids (int32, as bytes) of pre-tokens; each is what follows the space that the library puts first."""
-    cores = [w.lstrip(" ") for w in words]
-    text = "".join(SPACE + c for c in cores)
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+def _relax(v: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Encodings of parts, each on its own: ranks, where each piece starts in its part, and len+1 bounds into both."""
+    codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
     n = len(codes)
-    size = np.array([len(c) + 1 for c in cores])
+    size = np.array([len(c) for c in parts])
     begin = np.cumsum(size) - size
     order = suffix_array(codes, v.chars.shape[1])
     count = len(v.length) - 1
     low, high = occurrences(codes, order, v.chars[:count], v.length[:count])
     times = high - low
-    piece = np.repeat(np.arange(count), times)
-    start = order[np.arange(len(piece)) - np.repeat(np.cumsum(times) - times - low, times)]
+    piece = np.repeat(np.arange(count, dtype=np.int32), times)
+    start = order[np.arange(len(piece)) - np.repeat(np.cumsum(times) - times - low, times)].astype(np.int32)
+    del order
     known = np.zeros(n, bool)
     known[start[v.length[piece] == 1]] = True
-    lone = np.flatnonzero(~known)
-    piece, start = np.concatenate([piece, np.full(len(lone), count)]), np.concatenate([start, lone])
-    offset = np.arange(n) - np.repeat(begin, size)  # of each character in its word
-    end = start + v.length[piece]
-    level = offset[end - 1] + 1
+    lone = np.flatnonzero(~known).astype(np.int32)
+    piece, start = np.concatenate([piece, np.full(len(lone), count, np.int32)]), np.concatenate([start, lone])
+    offset = (np.arange(n) - np.repeat(begin, size)).astype(np.int32)  # of each character in its part
+    level = offset[start + v.length[piece] - 1] + 1
     by = np.argsort(level.astype(np.uint16) if level.max() < 1 << 16 else level, kind="stable")
-    piece, start, end, level = piece[by], start[by], end[by], level[by]
+    piece, start, level = piece[by], start[by], level[by]
     steps = np.concatenate(([0], np.flatnonzero(np.diff(level)) + 1, [len(level)]))
-    last, came = np.full(n + 1, -1), np.full(n + 1, -1)  # at each position after a character: its last piece and where that starts
+    del by, level
+    last, came = np.full(n + 1, -1, np.int32), np.full(n + 1, -1, np.int32)  # at each position after a character: its last piece and where that starts
     for k in range(len(steps) - 1):
-        part = slice(steps[k], steps[k + 1])
-        p, s, e = piece[part], start[part], end[part]
+        here = slice(steps[k], steps[k + 1])
+        p, s = piece[here], start[here]
         at_start = offset[s] == 0
         before = np.where(at_start, count, last[s])
         ok = at_start | apart(v, before, p)
-        last[e[ok]], came[e[ok]] = p[ok], s[ok]
-    # walk back from all word ends at once
-    at, alive, back = begin + size, np.arange(len(words)), []
+        p, s = p[ok], s[ok]
+        e = s + v.length[p]
+        last[e], came[e] = p, s
+    del piece, start
+    # walk back from all ends at once
+    at, alive, back = begin + size, np.arange(len(parts)), []
     while len(alive):
         back.append((alive, last[at], came[at]))
         at = came[at]
         on = at > begin[alive]
         alive, at = alive[on], at[on]
-    word = np.concatenate([b[0] for b in back])
+    owner = np.concatenate([b[0] for b in back])
     ranks, place = np.concatenate([b[1] for b in back]), np.concatenate([b[2] for b in back])
-    by = np.lexsort((place, word))
-    word, ranks, place = word[by], ranks[by], place[by]
+    by = np.lexsort((place, owner))
+    owner = owner[by]
+    return ranks[by], place[by] - begin[owner], np.searchsorted(owner, np.arange(len(parts) + 1))
+
+
+def _windows(core: str) -> list[str]:
+    """core in windows of STEP characters and OVERLAP more."""
+    return [core[a : a + STEP + OVERLAP] for a in range(0, len(core) - OVERLAP, STEP)]
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray] | None:
+    """One encoding from those of the windows, or None where two neighbours have no token in common."""
+    ranks, place = [], []
+    first = 0  # of the window's tokens, the first one not taken yet
+    for k, (r, s) in enumerate(parts[:-1]):
+        r2, s2 = parts[k + 1]
+        # a token is common if both windows have its piece at its place
+        here, there = s - STEP, s2
+        _, i, j = np.intersect1d(here[:-1], there, assume_unique=True, return_indices=True)
+        same = (r[i] == r2[j]) & (i >= first)
+        if not same.any():
+            return None
+        i, j = int(i[same][0]), int(j[same][0])
+        ranks.append(r[first : i + 1])
+        place.append(s[first : i + 1] + k * STEP)
+        first = j + 1
+    r, s = parts[-1]
+    return np.concatenate([*ranks, r[first:]]), np.concatenate([*place, s[first:] + (len(parts) - 1) * STEP])
+
+
+def encode_words(v: Vocabulary, words: list[str]) -> list[bytes]:
+    """Ids (int32, as bytes) of pre-tokens; each is what follows the space that the library puts first."""
+    cores = [SPACE + w.lstrip(" ") for w in words]
+    long = {i: _windows(c) for i, c in enumerate(cores) if len(c) > LONG}
+    parts = [x for i, c in enumerate(cores) for x in long.get(i, (c,))] if long else cores
+    ranks, place, bounds = _relax(v, parts)
     ids = v.ids[ranks]
-    bounds = np.searchsorted(word, np.arange(len(words) + 1))
-    flat = ids.astype(np.int32)
-    blob = flat.tobytes()
-    odd = set(word[ids < 0].tolist())
-    out = []
-    for i, w in enumerate(words):
-        a, b = bounds[i], bounds[i + 1]
-        m = len(w) - len(cores[i])
-        if i not in odd and not m:
-            out.append(blob[4 * a : 4 * b])
-            continue
+    blob = ids.astype(np.int32).tobytes()
+    count = np.ones(len(words), np.int64)
+    count[list(long)] = [len(x) for x in long.values()]
+    first = np.cumsum(count) - count
+    begin, end = bounds[first], bounds[first + count]
+    out = [blob[a:b] for a, b in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)]
+    lone = np.concatenate(([0], np.cumsum(ids < 0)))
+    spaces = np.array([len(w) + 1 - len(c) for w, c in zip(words, cores, strict=True)])
+    for i in sorted({*np.flatnonzero((spaces > 0) | (lone[begin] < lone[end])).tolist(), *long}):
+        r, s, m = ranks[begin[i] : end[i]], place[begin[i] : end[i]], int(spaces[i])
+        if i in long:
+            at = range(first[i], first[i] + count[i])
+            whole = _joined([(ranks[bounds[k] : bounds[k + 1]], place[bounds[k] : bounds[k + 1]]) for k in at])
+            r, s = whole if whole is not None else _relax(v, [cores[i]])[:2]
         mine = []
-        for r, q in zip(ids[a:b].tolist(), place[a:b].tolist(), strict=True):
-            mine += [r] if r >= 0 else [v.byte_ids[x] for x in chr(codes[q]).encode()]
+        for x, q in zip(v.ids[r].tolist(), s.tolist(), strict=True):
+            mine += [x] if x >= 0 else [v.byte_ids[c] for c in cores[i][q].encode()]
         if m:
             mine = _run(v, m + 1) + mine[1:] if mine[0] == v.runs[1] else _run(v, m) + mine
-        out.append(np.array(mine, np.int32).tobytes())
+        out[i] = np.array(mine, np.int32).tobytes()
     return out
 
 
@@ -290,23 +341,25 @@ def _blocks(words: list[str]) -> Iterator[list[str]]:
 
 
 class Encoder:
-    """Encodes texts of one task, keeping the ids of words seen lately."""
+    """Encodes the texts of a batch through their distinct pre-tokens."""
 
     def __init__(self, path: str):
-        self.v, self.known = vocabulary(path), {}
+        self.v = vocabulary(path)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [pretokens(t) if t else [] for t in texts]
-        if len(self.known) > WORDS_KEPT:  # only what this batch has again
-            here = {w for words in split for w in words}
-            self.known = {w: ids for w, ids in self.known.items() if w in here}
-        new = list({w for words in split for w in words if w not in self.known})
-        for block in _blocks(new):
-            self.known.update(zip(block, encode_words(self.v, block), strict=True))
-        get = self.known.__getitem__
+        known: dict[str, bytes] = {}
+        for block in _blocks(list({w for words in split for w in words})):
+            known.update(zip(block, encode_words(self.v, block), strict=True))
+        get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+def _lists(parts: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+
+
 def encoder(path: str):
     """A function of a text column: its ids."""
 
@@ -315,9 +368,7 @@ def encoder(path: str):
         run, parts = Encoder(path), []
         for a, n in common.slices(text, BATCH_BYTES):
             parts += run(text.slice(a, n).to_pylist())
-        sizes = np.array([len(p) // 4 for p in parts], np.int64)
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+        return _lists(parts)
 
     return encode
 
@@ -328,17 +379,77 @@ def decode_ids(v: Vocabulary, ids: list[int]) -> str:
     return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
+def decode_all(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Texts of the rows ids[offsets[i]:offsets[i + 1]], their bytes gathered at once; rows that are no UTF-8 are decoded one by one."""
+    size = v.raw_size[ids]
+    ends = np.cumsum(size)
+    data = v.raw_bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(v.raw_start[ids] - ends + size, size)]
+    bound = np.concatenate(([0], ends))[offsets]
+    drop = bound[:-1][bound[:-1] < bound[1:]]  # the first byte of each row that has one
+    drop = drop[data[drop] == 0x20]
+    bound = bound - np.searchsorted(drop, bound)
+    data = np.delete(data, drop)
+    text = pa.StringArray.from_buffers(len(bound) - 1, pa.py_buffer(bound.astype(np.int32)), pa.py_buffer(data))
+    try:
+        text.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = data.tobytes()
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)], pa.string())
+    return text
+
+
 def decoder(path: str):
     """A function of a column of ids: their text."""
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
-        v = vocabulary(path)
-        return pa.array([None if x is None else decode_ids(v, x) for x in ids.to_pylist()], pa.string())
+        v, parts = vocabulary(path), []
+        sizes = np.array([len(x) if x.is_valid else 0 for x in ids], np.int64)
+        for a, n in _portions(sizes):
+            rows = ids.slice(a, n)
+            at = np.concatenate(([0], np.cumsum(sizes[a : a + n])))
+            text = decode_all(v, rows.flatten().to_numpy(), at)
+            parts.append(pc.if_else(rows.is_valid(), text, None) if rows.null_count else text)
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return decode
 
 
+def _portions(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges (start, count) of at most `most` ids each, but one row at least."""
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > most:
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+_ROUND = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
+
+
+def both_ways(path: str):
+    """A function of a text column: its ids and the text that they decode to.
+
+    One function, for the optimizer computes a chain of two Python functions as one
+    call that encodes again inside of it.
+    """
+
+    @F.arrow_udf(_ROUND)
+    def there_and_back(text: pa.Array) -> pa.Array:
+        run, v, ids, texts = Encoder(path), vocabulary(path), [], []
+        for a, n in common.slices(text, BATCH_BYTES):
+            rows = _lists(run(text.slice(a, n).to_pylist()))
+            ids.append(rows)
+            texts.append(decode_all(v, rows.values.to_numpy(), np.asarray(rows.offsets)))
+        empty = pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids) if ids else empty[0], pa.concat_arrays(texts) if texts else empty[1]], ["ids", "decoded"])
+
+    return there_and_back
+
+
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of each whole text in ids_col (a name that docs lacks is made from it)."""
     (name,) = common.fresh(docs, ids_col)
@@ -346,12 +457,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """rows with the text of ids_col; null ids give null."""
     (name,) = common.fresh(rows, text_col)
     return rows.withColumn(name, decoder(path)(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, decoded_sha256, and whether decoding gives the text again."""
-    rows = encode(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), path)
-    back = decode(rows, path)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    back = rows.select("doc_id", "text", both_ways(path)(F.col("text")).alias("r")).select("doc_id", "text", "r.*")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("exact"))

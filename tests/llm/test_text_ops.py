@@ -66,6 +66,29 @@ def test_lattice_matches_the_library(library, monkeypatch, block):
     assert [piece_lattice.decode_ids(v, x) for x in got] == [library.decode(x) for x in got]
 
 
+def test_long_pretokens_match_the_library(library):
+    rng = random.Random(9)
+    path = queries.tokenizer_file(queries.PIECE_MODEL)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [
+        "x" * 70_001, "abc" * 9001, "tion" * 1500 + "ing" * 1001, "".join(rng.choices(alphabet, k=100_000)), "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(20_000)),
+        " " * 60_000 + "y", "a" * 5000 + " " + "ab" * 4000 + "é" * 6000 + "▁" + "q\x00" * 3000, "".join(rng.choices("abcdefgh", k=30_000)), *("z" * n for n in (4095, 4096, 4097)),
+    ]
+    got = [np.frombuffer(x, np.int32) for x in piece_lattice.Encoder(path)(texts)]
+    assert [x.tolist() for x in got] == library.encode(texts)
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in got])))
+    assert piece_lattice.decode_all(piece_lattice.vocabulary(path), np.concatenate(got), offsets).to_pylist() == library.decode([x.tolist() for x in got])
+
+
+def test_decoding_any_ids(spark, library):
+    path = queries.tokenizer_file(queries.PIECE_MODEL)
+    v = piece_lattice.vocabulary(path)
+    rows = [(0, []), (1, None), (2, [v.byte_ids[0xC3]]), (3, [v.byte_ids[0xC3], v.byte_ids[0xA9]]), (4, [v.byte_ids[0xC3]] * 3), (5, library.encode("two words"))]
+    df = spark.createDataFrame(rows, "k int, ids array<int>")
+    got = {r["k"]: r["decoded"] for r in piece_lattice.decode(df, path).collect()}
+    assert got == {0: "", 1: None, 2: "\ufffd", 3: "é", 4: "\ufffd" * 3, 5: "two words"}
+
+
 def test_round_trip(spark, docs, odd, library):
     path = queries.tokenizer_file(queries.PIECE_MODEL)
     for df in (docs, odd):
