@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,17 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 _own: list[str] = []
+_tables: dict[int, tuple] = {}
+#: A key with more than this part of all rows is hot; fewer than SHARES keys can be.
+SHARES = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir.  Unset, a folder of our own serves a local master only; a cluster needs the setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         _own.append(_own[0] if _own else tempfile.mkdtemp(prefix="tandem-"))
         folder = _own[0]
     return folder.rstrip("/")
@@ -50,11 +56,48 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and returns the table read back."""
+    """Writes df as Parquet in the shared folder and returns the table read back.
+
+    Tables lie under tables/<application id>; ``release`` deletes those that nothing
+    reads any more, and the whole folder may go when the application has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` gave, when no result that is still to be read depends on them."""
+    for table in tables:
+        ref, path = _tables.pop(id(table), (lambda: None, None))
+        if ref() is table:
+            jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def share_of(counts: DataFrame, key: str, n: str = "n", total: int | None = None) -> DataFrame:
+    """The keys of counts (unique by key) with more than a SHARES-th of the sum of n (`total`, if known): fewer than SHARES of them, whatever the table's size."""
+    if total is None:
+        total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > total / SHARES).select(key)
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has one row per key, on the column `key`.
+
+    The keys in hot, as `share_of` gives them, would each fill a task; their rows of
+    table, fewer than SHARES, are broadcast instead, and only the others are dealt by key.
+    """
+    (mark,) = fresh(rows, "hot")
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias(mark))), key, "left")
+    few = table.join(F.broadcast(hot.select(key)), key, "left_semi")
+    many = table.join(F.broadcast(hot.select(key)), key, "left_anti")
+    one = marked.where(F.col(mark)).drop(mark).join(F.broadcast(few), key, how)
+    return one.unionByName(marked.where(F.col(mark).isNull()).drop(mark).join(many, key, how))
 
 
 def bounded(rows: DataFrame, id_col: str, most: int) -> DataFrame:

@@ -3,21 +3,29 @@
 1. One pass gives each text a digest of its set of 5-word shingles, the set's size
    and its band hashes.  Bands and rows are chosen for a target recall at the
    threshold.
-2. Texts with one set form a class; only class representatives go on, so exact
-   copies, however many, cost one row.
-3. Representatives are dealt by band hash; the smallest label in each bucket
-   spreads until buckets that share a member agree.  This gives candidate groups
-   by aggregation, without pairs.
-4. Within a candidate group all sets are compared exactly.  A group larger than a
-   task should hold is cut into blocks, and each pair of blocks is one task's
-   work.  A task counts links per member and returns a spanning forest of them,
-   never the pairs.
+2. Texts with one set form a class, known by the digest; only one text of each goes
+   on, so exact copies, however many, cost one row.
+3. Sets are dealt by band hash.  Two rounds of the smallest label around a bucket
+   give sets that share buckets a label, by aggregation and without pairs.  A label
+   only says where sets are compared: near copies of one text mostly agree on it, so
+   their sets travel once and not once for each of their buckets.
+4. All sets of a label are compared exactly.  A bucket whose members have several
+   labels is compared on its own as well: there a pair counts if its labels differ and
+   no earlier band of the two agrees.  So every pair that shares a bucket is compared,
+   and counted once.  What is larger than a task should hold is cut into blocks, and
+   each pair of blocks is one task's work.  A task counts links per member and returns
+   a spanning forest of them, never the pairs.
 5. The forest's components are the classes of near duplicates.
 
+Keys that hold a large share of all rows (a bucket, a hub of the forest, a set that a
+third of all documents have) meet their few partner rows by broadcast; ``join_spread``
+says why those are bounded.  Comparing n different sets of one bucket costs n * n / 2
+comparisons, as the exact number of links asks for.
+
 Defined edge cases: a null or empty text, or one without words, has no shingles
 and no links; a text of 1 to 4 words has one shingle, of all its words; a row
-without id stays, with no class and no links; rows that share an id are further
-copies if their texts agree, else the id goes with its smallest set digest.
+without id stays, with no class and no links; rows that share an id are rows of
+their own: copies if their sets agree, else each with the class and links of its text.
 """
 
 from __future__ import annotations
@@ -27,17 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.llm import common
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.9995
 #: Most members and most shingles of one block; a task holds two blocks.
-BLOCK_ROWS, BLOCK_SHINGLES = 768, 1_500_000
+BLOCK_ROWS, BLOCK_SHINGLES = 192, 1_500_000
 
 
-def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 96) -> tuple[int, int]:
+def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 128) -> tuple[int, int]:
     """Bands and rows: the most rows whose bands, at most `most` hashes in all, find a pair at the threshold with this chance."""
     best = (most, 1)
     for rows in range(1, 17):
@@ -81,8 +89,8 @@ def _signatures(bands: int, rows_per: int, width: int):
                             keys[:, j] = common.mix(keys[:, j] * np.uint64(31) + least + np.uint64(j + 1))
                 offsets = np.concatenate(([0], np.cumsum(np.where(size > 0, bands, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, n), _digests(hashes, begin, n), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))],
-                    ["doc_id", "digest", "size", "bands"],
+                    [batch.column("doc_id").slice(a, n), batch.column("mark").slice(a, n), _digests(hashes, begin, n), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64)))],
+                    ["doc_id", "mark", "digest", "size", "bands"],
                 )
 
     return run
@@ -95,24 +103,42 @@ def components(edges: DataFrame) -> DataFrame:
     label, so paths shorten as they do in pointer jumping.
     """
     pairs = common.cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = common.cut(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    while True:
-        around = pairs.join(labels, pairs.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(around, labels.node == around.a, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
-        up = labels.select(F.col("node").alias("up"), F.col("root").alias("above"))
-        new = common.cut(step.join(up, step.new == up.up, "left").select("node", "root", F.least("new", F.coalesce("above", "new")).alias("new")))
-        if new.where("new <> root").isEmpty():
-            return labels
-        labels = new.select("node", F.col("new").alias("root"))
-
-
-def candidate_groups(reps: DataFrame) -> DataFrame:
-    """(rep, grp) of representatives that share a bucket with others; reps has rep and bands."""
-    members = reps.select("rep", F.explode("bands").alias("bucket"))
-    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
-    # one star per bucket: linear in the members, whatever the bucket's size
-    stars = members.join(full, "bucket").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
-    return components(stars).select(F.col("node").alias("rep"), F.col("root").alias("grp"))
+    # hubs: as many pairs end at a node as begin there
+    degrees = common.cut(pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least")))
+    nodes, ends = degrees.agg(F.count(F.lit(1)), F.sum("n")).first()
+    hubs = common.share_of(degrees, "node", total=ends or 0)
+    labels, lower = degrees.select("node", F.least("least", "node").alias("root")), True
+    while lower:
+        around = common.join_spread(pairs.withColumnRenamed("b", "node"), labels, "node", hubs).groupBy("a").agg(F.min("root").alias("near"))
+        step = common.cut(labels.join(around, labels.node == around.a, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("new")))
+        # the label of the label; many nodes can have one label
+        above = labels.select(F.col("node").alias("new"), F.col("root").alias("above"))
+        popular = common.share_of(step.groupBy("new").agg(F.count(F.lit(1)).alias("n")), "new", total=nodes)
+        lifted = common.join_spread(step, above, "new", popular, "left")
+        new = common.cut(lifted.select("node", F.col("root").alias("old"), F.least("new", F.coalesce("above", "new")).alias("root")))
+        lower = not new.where("old <> root").isEmpty()
+        common.release(step, labels)
+        labels = new
+    common.release(pairs, degrees)
+    return labels.select("node", "root")
+
+
+def labelled_buckets(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mark, label) of the sets that share a bucket, and (band, bucket, mark, label, n, open) of the buckets with two sets or more.
+
+    marks has mark and bands.  Two sets with one mark (64 bits of the digest) only
+    share a label and their buckets' work.
+    """
+    members = marks.select("mark", F.posexplode("bands").alias("band", "b")).select("mark", "band", F.xxhash64("band", "b").alias("bucket"))
+    full = common.cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("mark").alias("least")).where("n > 1"))
+    hot = common.share_of(full, "bucket")
+    met = common.cut(common.join_spread(members, full.select("bucket", "n", "least"), "bucket", hot))
+    near = met.groupBy("mark").agg(F.min("least").alias("label"))
+    around = met.select("bucket", "mark").join(near, "mark").groupBy("bucket").agg(F.min("label").alias("near"))
+    labels = common.cut(common.join_spread(met.select("bucket", "mark"), around, "bucket", hot).groupBy("mark").agg(F.min("near").alias("label")))
+    of = met.select("bucket", "band", "mark", "n").join(labels, "mark")
+    mixed = of.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("open"))
+    return labels, common.cut(common.join_spread(of, mixed, "bucket", hot))
 
 
 def _digests(hashes: np.ndarray, begin: np.ndarray, n: int) -> pa.Array:
@@ -128,7 +154,7 @@ def _texts_to_sets(width: int):
                 hashes, row = _sets(common.utf8(text.slice(a, n)), n, width)
                 begin = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
                 lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, n), _digests(hashes, begin, n), lists], ["rep", "digest", "shingles"])
+                yield pa.RecordBatch.from_arrays([_digests(hashes, begin, n), lists], ["digest", "shingles"])
 
     return run
 
@@ -162,32 +188,30 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
             a[rows[:cutoff], c] = 1
             b[rows[cutoff:] - n, c] = 1
         out += np.rint(a @ b.T).astype(np.int64)
-    flat, pending, count = out.reshape(-1), [], 0
-    for i in np.flatnonzero(both & ~heavy).tolist():
-        rows = owner[begin[i] : end[i]]
-        cutoff = in_left[i]
-        pending.append((rows[:cutoff, None] * m + (rows[cutoff:] - n)[None, :]).reshape(-1))
-        count += len(pending[-1])
-        if count > 2_000_000:
-            flat += np.bincount(np.concatenate(pending), minlength=n * m)
-            pending, count = [], 0
-    if pending:
-        flat += np.bincount(np.concatenate(pending), minlength=n * m)
+    flat, light = out.reshape(-1), np.flatnonzero(both & ~heavy)
+    work = np.cumsum(in_left[light] * in_right[light])
+    # all pairs of the sets that hold a shingle, a bounded number at a time
+    for k in range(int(work[-1]) // 2_000_000 + 1 if len(work) else 0):
+        some = light[np.searchsorted(work, k * 2_000_000, "right") : np.searchsorted(work, (k + 1) * 2_000_000, "right")]
+        times = in_left[some] * in_right[some]
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        wide, left_at, right_at = np.repeat(in_right[some], times), np.repeat(begin[some], times), np.repeat(begin[some] + in_left[some], times)
+        flat += np.bincount(owner[left_at + at // wide] * m + owner[right_at + at % wide] - n, minlength=n * m)
     return out
 
 
 def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        reps = table.column("rep").to_numpy()
-        side = table.column("side").to_numpy()
-        weight = table.column("n").to_numpy()
+        rep, digest = table.column("rep").to_numpy(), np.array(table.column("digest").to_pylist(), object)
+        by = np.lexsort((digest, rep))  # so that a row's place orders it as its name (rep, digest) does
+        rep, digest = rep[by], digest[by]
+        side, weight, label = (table.column(c).to_numpy()[by] for c in ("side", "n", "label"))
         sets = table.column("shingles").combine_chunks()
-        off = np.asarray(sets.offsets)
-        values = sets.values.to_numpy().view(np.uint64)
-        rows = [values[off[i] : off[i + 1]] for i in range(len(reps))]
-        same = bool(table.column("same")[0].as_py())
-        li, ri = (np.arange(len(reps)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        got_n, got_root = np.zeros(len(reps), np.int64), reps.copy()
+        off, values = np.asarray(sets.offsets), sets.values.to_numpy().view(np.uint64)
+        rows = [values[off[i] : off[i + 1]] for i in by.tolist()]
+        same, band = bool(table.column("same")[0].as_py()), table.column("band")[0].as_py()
+        li, ri = (np.arange(len(rep)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        got_n, got_root = np.zeros(len(rep), np.int64), np.arange(len(rep))
         if len(li) and len(ri):
             shared = intersections([rows[i] for i in li], [rows[i] for i in ri])
             size = np.array([len(x) for x in rows])
@@ -195,12 +219,16 @@ def _verify(threshold: float):
             link = shared >= threshold * union - 1e-9
             if same:
                 np.fill_diagonal(link, False)
+            if band >= 0:  # a bucket of several labels: pairs of different labels whose first common band is this one
+                bands = table.column("bands").combine_chunks().values.to_numpy().reshape(len(rep), -1)[by]
+                link &= (label[li][:, None] != label[ri][None, :]) & (bands[li, band][:, None] == bands[ri, band][None, :])
+                for k in range(band):
+                    link &= bands[li, k][:, None] != bands[ri, k][None, :]
             got_n[li] += link @ weight[ri]
             if not same:
                 got_n[ri] += link.T @ weight[li]
             # labels spread inside the block until they settle: a forest of at most one edge per member
-            changed = True
-            top = np.iinfo(np.int64).max
+            changed, top = True, len(rep)
             while changed:
                 a = np.where(link, got_root[ri][None, :], top).min(axis=1, initial=top)
                 new_l = np.minimum(got_root[li], a)
@@ -211,50 +239,91 @@ def _verify(threshold: float):
                 moved |= (new_r != got_root[ri]).any()
                 got_root[ri] = new_r
                 changed = bool(moved)
-        keep = got_n > 0
-        return pa.table({"rep": pa.array(reps[keep]), "links": pa.array(got_n[keep]), "root": pa.array(got_root[keep])})
+        keep = np.flatnonzero(got_n > 0)
+        root = got_root[keep]
+        bytes_of = lambda x: pa.array(x.tolist(), pa.binary())
+        return pa.table({"rep": pa.array(rep[keep]), "digest": bytes_of(digest[keep]), "links": pa.array(got_n[keep]), "root_rep": pa.array(rep[root]), "root_digest": bytes_of(digest[root])})
 
     return run
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest id of its class) and n_links.
+def _mark(text: Column) -> Column:
+    """A hash that tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    n_links counts the other rows whose n-gram sets are at least `threshold` alike,
-    exact copies included; a class is a connected component of these links.
-    """
+
+def _classes(docs: DataFrame, threshold: float, width: int, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """Every row of docs as (doc_id, mark, digest, root, class_id, n_links); digest and root, which names the class, are null without an id or without words."""
     bands, rows_per = bands_for(threshold, recall)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = common.cut(plain.mapInArrow(_signatures(bands, rows_per, width), "doc_id long, digest binary, size long, bands array<long>"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", _mark(F.col("text")))
+    signed = common.cut(plain.mapInArrow(_signatures(bands, rows_per, width), "doc_id long, mark long, digest binary, size long, bands array<long>"))
     reps = common.cut(
-        signed.where("doc_id is not null and size > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+        signed.where("doc_id is not null and size > 0")
+        .groupBy("digest")
+        .agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.first("bands").alias("bands"))
+        .select("digest", F.col("row.doc_id").alias("rep"), F.col("row.mark").alias("text_mark"), "n", "size", "bands", F.xxhash64("digest").alias("mark"))
     )
-    # two texts under one id can make one id the representative of two sets: the smaller digest keeps it
-    grouped = candidate_groups(reps)
-    named = common.cut(grouped.join(reps.groupBy("rep").agg(F.min("digest").alias("digest")), "rep").join(reps.select("digest", "n", "size"), "digest"))
-    span = named.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"))
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    placed = named.join(span.select("grp", blocks.alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = plain.join(placed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_texts_to_sets(width), "rep long, digest binary, shingles array<long>").dropDuplicates(["rep", "digest"])
+    labels, buckets = labelled_buckets(reps.select("mark", "bands"))
+    named = common.cut(reps.join(labels, "mark"))
+    # the work: a label's sets, and the buckets with several labels
+    parts_of = lambda rows: F.ceil(F.greatest(F.col("members") / BLOCK_ROWS, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    span = common.cut(named.groupBy("label").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total")).where("members > 1").select("label", "members", parts_of(named).alias("blocks")))
+    of_label = common.join_spread(named.select("mark", "digest", "label"), span.select("label", "blocks"), "label", common.share_of(span, "label", "members"))
+    unit = lambda key, band: F.struct(key.alias("key"), band.cast("int").alias("band"), "blocks")
+    inside = of_label.select("digest", unit(F.col("label"), F.lit(-1)).alias("u"))
+    mixed = buckets.where("open").join(named.select("mark", "digest", "size"), "mark")
+    wide = common.cut(mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total")).select("bucket", "members", parts_of(mixed).alias("blocks")))
+    across = common.join_spread(mixed.select("digest", "bucket", "band"), wide.select("bucket", "blocks"), "bucket", common.share_of(wide, "bucket", "members"))
+    units = inside.unionByName(across.select("digest", unit(F.col("bucket"), F.col("band")).alias("u"))).groupBy("digest").agg(F.collect_list("u").alias("units"))  # at most one a band and one more
+    asked = common.cut(named.join(units, "digest"))
+    texts = plain.join(asked.select(F.col("rep").alias("doc_id"), F.col("text_mark").alias("mark")), ["doc_id", "mark"], "left_semi").select("text")
+    sets = texts.mapInArrow(_texts_to_sets(width), "digest binary, shingles array<long>").dropDuplicates(["digest"])
     work = (
-        placed.join(sets, ["rep", "digest"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("mine"), "rep", "n", "shingles")
-        .withColumn("side", (F.col("mine") != F.col("i")).cast("int"))
-        .withColumn("same", F.col("i") == F.col("j"))
+        asked.join(sets, "digest")
+        .withColumn("u", F.explode("units"))
+        .withColumn("mine", F.pmod(F.xxhash64("digest", "u.key"), F.col("u.blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("u.blocks") - 1)))
+        .select("u.key", "u.band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "rep", "digest", "n", "label", F.when(F.col("u.band") >= 0, F.col("bands")).alias("bands"), "shingles")
+        .withColumns({"side": (F.col("mine") != F.col("i")).cast("int"), "same": F.col("i") == F.col("j")})
     )
-    found = common.cut(work.groupBy("grp", "i", "j").applyInArrow(_verify(threshold), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b"))
-    classes = reps.select("digest", "rep", "n").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("digest", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    return signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = common.cut(work.groupBy("key", "band", "i", "j").applyInArrow(_verify(threshold), "rep long, digest binary, links long, root_rep long, root_digest binary"))
+    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
+    # a set's name is its least id and its digest, so the least name of a component begins with its least id
+    edges = found.select(F.struct("rep", "digest").alias("a"), F.struct(F.col("root_rep").alias("rep"), F.col("root_digest").alias("digest")).alias("b")).where("a <> b")
+    roots = components(edges).select("node.digest", F.col("root.rep").alias("class_id"), F.col("root.digest").alias("root"))
+    classes = reps.select("digest", "rep", "n").join(links, "digest", "left").join(roots, "digest", "left")
+    classes = common.cut(classes.select("digest", "n", F.coalesce("root", "digest").alias("root"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    some = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    rows = common.join_spread(signed.where(some).select("doc_id", "mark", "digest"), classes.drop("n"), "digest", common.share_of(classes, "digest"))
+    bare = signed.where(~some).select("doc_id", "mark", *[F.lit(None).cast("binary").alias(c) for c in ("digest", "root")], F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return rows.select("doc_id", "mark", "digest", "root", "class_id", "n_links").unionByName(bare)
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest id of its class) and n_links.
+
+    n_links counts the other rows whose n-gram sets are at least `threshold` alike,
+    exact copies included; a class is a connected component of these links.
+    """
+    return _classes(docs, threshold, width, recall, id_col, text_col).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose class has a smaller id, and one row of each id; rows without id stay."""
-    classes = near_classes(docs, threshold, id_col=id_col, text_col=text_col)
-    spare = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(spare, id_col, "left_anti").dropDuplicates([id_col])
-    return named.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """docs with one row of each class, and all rows without id or without words.
+
+    The row with the class's smallest id stays; where several rows have that id, the
+    one whose text hashes lowest, and of rows that agree in id and text the one that
+    hashes lowest as a whole.
+    """
+    rows = _classes(docs, threshold, WIDTH, RECALL, id_col, text_col).where("doc_id is not null and digest is not null")
+    texts = common.cut(rows.groupBy("doc_id", "mark", "root", "class_id").agg(F.count(F.lit(1)).alias("n")))
+    # of several texts under the smallest id of a class the least one by hash
+    least = texts.where("doc_id = class_id").groupBy("root").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).where("least < most").select("root", "least")
+    spare = (F.col("doc_id") != F.col("class_id")) | F.coalesce(F.col("mark") > F.col("least"), F.lit(False))
+    judged = texts.join(least, "root", "left").select("doc_id", "mark", spare.alias("spare"), "n").where("spare or n > 1")
+    key, mark, gone, whole = common.fresh(docs, "key", "mark", "gone", "whole")
+    judged = judged.select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("spare").alias(gone))
+    marked = docs.withColumns({key: F.col(id_col).cast("long"), mark: _mark(F.col(text_col))}).join(judged, [key, mark], "left")
+    hashed = [c for c, t in docs.dtypes if "map<" not in t]
+    repeats = marked.where(~F.col(gone)).groupBy(key, mark).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias(whole)).select(f"{whole}.*")
+    return marked.where(F.col(gone).isNull()).select(*docs.columns).unionByName(repeats)

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tandem.llm import ngram_join
+from tandem.llm import common, ngram_join
 
 
 def shingle_set(text):
@@ -60,7 +60,7 @@ def corpus(seed=3, n_base=12, copies=9):
 
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_for(0.8, 0.9995)
-    assert bands * rows <= 96 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
+    assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
 
 
 def test_against_all_pairs(spark):
@@ -78,6 +78,58 @@ def test_blocks_count_each_pair_once(spark, monkeypatch):
     assert rows_of(ngram_join.near_classes(docs)) == brute(rows)
 
 
+def test_ids_of_several_texts(spark):
+    words = [f"v{k}" for k in range(60)]
+    a, b, near = " ".join(f"u{k}" for k in range(60)), " ".join(words), " ".join([*words[:59], "other"])
+    rng = np.random.default_rng(8)
+    for _ in range(2):
+        rows = [(2, a), (2, b), (7, b), (8, near), (9, a), (4, near), (4, a), (4, a)]
+        rows = [rows[i] for i in rng.permutation(len(rows))]
+        docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+        assert rows_of(ngram_join.near_classes(docs)) == brute(rows)
+        # each of the two classes keeps the text of its smallest id
+        assert sorted((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs).collect()) == sorted([(2, a), (2, b)])
+    both = [(1, b), (1, near), (1, b), (3, near), (5, None), (5, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(both)], "doc_id long, text string, k int")
+    kept = {tuple(sorted((r["doc_id"], r["text"] is None) for r in ngram_join.one_of_each(docs.repartition(n)).collect())) for n in (1, 3)}
+    assert kept == {((1, False), (5, True), (5, True))}
+    assert len({ngram_join.one_of_each(docs.repartition(n)).where("doc_id = 1").first()["k"] for n in (1, 2, 5)}) == 1
+
+
+@pytest.mark.parametrize("shares", [4, 4096])
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch, shares):
+    monkeypatch.setattr(common, "SHARES", shares)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(15)
+    base = [f"h{k}" for k in range(80)]
+    rows = [(k, varied(rng, base, k % 3)) for k in range(60)] + [(500 + k, " ".join(base)) for k in range(40)] + corpus(4, 3, 4)[:12] + [(900 + k, f"alone{k} in the world") for k in range(30)]
+    assert rows_of(ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(common, "SHARES", 3)
+    rng = np.random.default_rng(2)
+    chain, star = [(k, k + 1) for k in range(40)], [(100, 101 + k) for k in range(50)]
+    more = [(int(a), int(b)) for a, b in rng.integers(200, 260, (40, 2))]
+    edges = chain + star + more
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["node"]: r["root"] for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_recall_on_the_fixture(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert rows_of(ngram_join.near_classes(docs)) == brute([tuple(r) for r in docs.collect()])
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, rep string, n string, digest string"
     rows = [(None, "a b c d e f", "x", None, None), (2, "a b c d e f", None, "y", "z"), (2, "a b c d e f", None, "y", "z"), (3, None, "", "", "")]
