@@ -11,10 +11,11 @@ its path's prefixes, its URL) and joins them with the intervals as of the fetch
 time.  The narrowest entry decides: url, then the longest prefix, then host, then
 the longest domain; at equal width allow wins.
 
-Keys are counted before the join.  Those on more than HOT captures are salted: the
-captures spread over SALTS tasks, and the few intervals of such keys are repeated.
-Key and interval rows grow with captures and with the list, never with their
-product: a key has one active interval at a time.
+Keys are counted first, by partial sums.  Of those that a large share of all captures
+asks for (fewer than common.SHARES), the unlisted ones go before anything is dealt by
+key, and the listed ones are salted: their captures spread over SALTS tasks, and their
+intervals are repeated.  Key and interval rows grow with captures and with the list,
+never with their product: a key has one active interval at a time.
 
 Main path: DataFrame functions only.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tandem.llm import common
 
-HOT, SALTS = 100_000, 64
+SALTS = 64
 _FAR = "9999-12-31"
 
 
@@ -82,11 +83,12 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     deepest = spans.where("scope = 'prefix'").agg(F.max(F.size(F.split("key", "/")) - 1).alias("n")).first()["n"]
     at = F.coalesce("fetched_at", F.lit("9999-12-30").cast("timestamp_ntz"))
     asked = table.where("host <> ''").select("row", at.alias("at"), F.explode(keys_of(F.col("host"), F.col("path"), F.col("whole"), deepest)).alias("k")).select("row", "at", "k.key", "k.width")
-    # only keys that are listed can meet; counting them first finds the hot ones
-    listed = spans.select("key").distinct()
-    hot = asked.join(listed, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key", F.lit(SALTS).alias("salts"))
-    salted_spans = spans.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    salted = asked.join(hot, "key", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    counts = common.cut(asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    listed = spans.select("key").distinct().withColumn("listed", F.lit(True))
+    hot = common.share_of(counts, "key").join(listed, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"), F.lit(SALTS).alias("salts"))
+    hot = F.broadcast(hot)
+    salted_spans = spans.join(hot.drop("listed"), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    salted = asked.join(hot, "key", "left").where("coalesce(listed, true)").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
     met = salted.join(salted_spans.select("key", "salt", "action", "valid_from", "valid_to"), ["key", "salt"]).where("valid_from <= at and at < valid_to")
     best = F.max(F.struct(F.col("width"), (F.col("action") == "allow").cast("int").alias("allow"), F.col("key"), F.col("action")))
     verdict = met.groupBy("row").agg(best.alias("v"))
