@@ -6,9 +6,10 @@ included) that are encoded apart.  Pieces are counted once for each distinct
 pre-token of the corpus; a text's count is the sum of its pre-tokens' counts times
 their frequencies in it.
 
-The pre-tokens seen most often (at most HOT of them, of at most HOT_CHARS
-characters) go to the tasks as one broadcast dictionary, so that no common word
-becomes a hot shuffle key; the rare rest joins by key.
+The pre-tokens seen most often (at most HOT of them) go to the tasks as one broadcast
+dictionary, so that no common word becomes a hot shuffle key; the rare rest joins by
+key.  A pre-token of more than SHORT characters is known by its digest, so keys are
+short and the dictionary's size is bounded whatever the texts.
 
 Defined edge cases: a null or empty text has no tokens; a null id keeps its row;
 repeated rows each give a row; other columns are not used.
@@ -16,6 +17,7 @@ repeated rows each give a row; other columns are not used.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from tandem.llm import common
 
-#: The broadcast dictionary has at most HOT entries of at most HOT_CHARS characters: under 50 MB.
-HOT, HOT_CHARS = 200_000, 128
+#: The broadcast dictionary has at most HOT entries of at most SHORT characters: under 50 MB.
+HOT, SHORT = 200_000, 128
+#: Begins the key of a long pre-token; a short one that begins so goes by its digest too.
+_LONG = "\0#"
 #: Distinct pre-tokens a task gathers before it passes its sums on.
 FLUSH = 300_000
 _SPACES = re.compile("[ ▁]+")
@@ -40,7 +44,7 @@ def load(model: str):
 
 
 def splits_at_spaces(model) -> bool:
-    """True if no piece has a space after another character and none but spaces follows two or more spaces."""
+    """True if no piece has a space after another character."""
     for i in range(model.get_piece_size()):
         rest = model.id_to_piece(i).lstrip("▁")
         if "▁" in rest:
@@ -70,11 +74,20 @@ def pretokens(text: str) -> list[str]:
     return out
 
 
+def key_of(word: str) -> str:
+    """The pre-token itself, or _LONG and a 128-bit digest of a long one."""
+    if len(word) <= SHORT and not word.startswith(_LONG):
+        return word
+    return _LONG + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def flush():
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+        keys = [key_of(w) for w in seen]
+        words = [None if k == w else w for k, w in zip(keys, seen, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(words, pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "word", "n"])
         seen.clear()
 
     for batch in batches:
@@ -92,11 +105,11 @@ def _pieces(model_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
         for batch in batches:
-            words = batch.column(0).to_pylist()
+            words = [k if w is None else w for k, w in zip(batch.column("piece").to_pylist(), batch.column("word").to_pylist(), strict=True)]
             counts = [len(x) for x in model.encode(words, num_threads=1)]
             # an empty pre-token is one lone space, which the library drops only when it is the whole text
             counts = [c if w else 1 for c, w in zip(counts, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["piece", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array(counts, pa.int64())], ["piece", "n", "tokens"])
 
     return run
 
@@ -111,6 +124,8 @@ def _documents(hot):
                 for x in text.slice(a, n).to_pylist():
                     total, left = 0, []
                     for w in pretokens(x or ""):
+                        if len(w) > SHORT or w.startswith(_LONG):
+                            w = key_of(w)
                         c = known.get(w)
                         if c is None:
                             left.append(w)
@@ -129,8 +144,8 @@ def _documents(hot):
 
 
 def piece_counts(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """Each distinct pre-token of the corpus, how often it stands there, and its number of tokens."""
-    seen = docs.select(F.col(text_col).alias("text")).mapInArrow(_corpus, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    """Each distinct pre-token of the corpus (long ones by `key_of`), how often it stands there, and its number of tokens."""
+    seen = docs.select(F.col(text_col).alias("text")).mapInArrow(_corpus, "piece string, word string, n long").groupBy("piece", "word").agg(F.sum("n").alias("n"))
     return common.cut(seen.mapInArrow(_pieces(model), "piece string, n long, tokens long"))
 
 
@@ -152,7 +167,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     if not splits_at_spaces(load(model)):
         raise ValueError("a piece of this model joins a space to a character before it")
     pieces = piece_counts(docs, model, text_col)
-    common_ones = most_frequent(pieces.where(F.length("piece") <= HOT_CHARS), hot).select("piece", "tokens").toPandas()
+    common_ones = most_frequent(pieces, hot).select("piece", "tokens").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(common_ones["piece"], common_ones["tokens"].tolist(), strict=True)))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
