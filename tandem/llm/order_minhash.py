@@ -7,7 +7,8 @@ elements from its lower bound on (running on into the following bins, around the
 end), puts them in text order and hashes the tuple.  Order and multiplicity enter
 the signature, so likeness follows edit distance rather than set overlap alone.
 Hashing once and cutting the range stands for BINS independent orders at a
-BINS-th of the work.
+BINS-th of the work; in a text of few elements neighbouring bins share elements, so
+its likeness is coarser than that of BINS independent orders (the README has figures).
 
 The next document is found without a global sort: ids are cut at their
 approximate quantiles, each part is sorted on its own, and the first row of every
@@ -16,7 +17,9 @@ part is lent to the part before it (the very first to the last).
 Defined edge cases: null and empty texts have the fingerprint of no k-mer (all
 zeros), alike 1.0 to one another; white space does not enter fingerprints; rows
 that share an id follow each other in the order of their texts; a row without id
-has no next document (its edited text gets nothing, near_next is null).
+has no next document (its edited text gets nothing, near_next is 0).  A place is kept in
+24 bits: k-mers of a text with more are numbered in steps, so that their order holds
+but for neighbours in one step.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from tandem.llm import common
 
 K, TUPLE, BINS = 2, 2, 64
 _POS = (1 << 24) - 1
+#: K-mers that have a place of their own.
+POSITIONS = 1 << 24
 #: Parts of the id range at most; their bounds and first rows are all that the driver sees.
-MAX_PARTS = 8192
+MAX_PARTS = 65_536
 
 
 def _high(x: Column) -> Column:
@@ -54,7 +59,8 @@ def add_fingerprint(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     n = F.size(h)
     kmer = lambda i: F.xxhash64(*[F.get(F.col(h), i + j) for j in range(K)])
     kmers = F.when(n >= K, F.transform(F.sequence(F.lit(0), n - K), kmer)).when(n > 0, F.array(F.xxhash64(F.col(h)))).otherwise(F.array().cast("array<bigint>"))
-    step = step.select(*keep, F.sort_array(F.transform(kmers, lambda x, i: x.bitwiseAND(~_POS).bitwiseOR(F.least(i, F.lit(_POS)).cast("long")))).alias(p))
+    place = lambda i: F.when(n <= POSITIONS, i.cast("long")).otherwise(F.floor(i * (F.lit(float(POSITIONS)) / n)))
+    step = step.select(*keep, F.sort_array(F.transform(kmers, lambda x, i: x.bitwiseAND(~_POS).bitwiseOR(place(i)))).alias(p))
     before = lambda j: F.get(F.col(p), j - 1)
     step = step.select(
         *keep,
@@ -108,7 +114,7 @@ def show(signature: Column) -> Column:
 def lend_firsts(rows: DataFrame, id_col: str, parts: int) -> DataFrame:
     """rows (id_col never null) with _part, _wrap and _own: cut into parts by id, each with its successor's first row lent."""
     parts = max(1, min(parts, MAX_PARTS))
-    bounds = rows.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).first()[0] or []
+    bounds = rows.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0] or []
     bounds = sorted(set(bounds))
     part = F.lit(0)
     if bounds:
@@ -150,5 +156,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         show(F.col("mark")).alias("fingerprint"),
         show(F.col("edited_mark")).alias("edited_fingerprint"),
         likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"),
-        likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
+        F.coalesce(likeness(F.col("mark"), F.col("next_mark")), F.lit(0.0)).alias("near_next"),
     )

@@ -6,14 +6,15 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tandem.llm import order_minhash, piece_lattice, quality_rules, queries, secrets, token_counts, url_filter
+from tandem.llm import common, order_minhash, piece_lattice, quality_rules, queries, secrets, token_counts, url_filter
 
 DATA = "/root/testdata/sf0.001"
 ODD = [
     "", None, " ", "  ", "hello", " hello", "a  b", "a\nb\tc\r\n", "<s> </s> <unk>", "▁x", "日本語 テスト", "x\x00y", "ﬁ Å é é ①", " \n  \n   x", " " * 40 + "y",
-    "a" + " " * 33, "😀😀 ok", "a" * 900, "zzz　  z", "tab\there", "trailing ", "x" * 70_000,
+    "a" + " " * 33, "😀😀 ok", "a" * 900, "zzz　  z", "tab\there", "trailing ", "x" * 70_000, "\0#abc \0#" + "d" * 200 + " " + "e" * 129,
 ]
 
 
@@ -52,6 +53,7 @@ def test_token_counts_match_the_library(spark, docs, odd, library):
         for hot in (token_counts.HOT, 5):
             got = token_counts.token_counts(df, queries.tokenizer_file(queries.PIECE_MODEL), hot=hot).collect()
             assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
+    assert all(len(r["piece"]) <= token_counts.SHORT for r in token_counts.piece_counts(odd, queries.tokenizer_file(queries.PIECE_MODEL)).collect())
     assert token_counts.token_counts(docs.limit(0), queries.tokenizer_file(queries.PIECE_MODEL)).count() == 0
 
 
@@ -266,11 +268,67 @@ def test_fingerprint_edges(spark):
     df = spark.createDataFrame([(*r, "m", 1) for r in rows], "doc_id long, text string, mark string, h int")
     got = order_minhash.fingerprints(df).collect()
     assert len(got) == 6 and {r["fingerprint"] for r in got if r["doc_id"] in (1, 2)} == {"0" * 8 * order_minhash.BINS}
-    assert all(r["near_next"] is None for r in got if r["doc_id"] is None)
+    assert all(r["near_next"] == 0.0 for r in got if r["doc_id"] is None)
     assert next(r for r in got if r["doc_id"] == 1)["near_next"] == 1.0
     assert order_minhash.fingerprints(df.limit(0)).count() == 0
 
 
+def plain_signature(text):
+    """The signature in plain Python; xxhash with Spark's seed and chaining."""
+    h64 = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    signed = lambda x, bits=64: x - (1 << bits) if x >> (bits - 1) else x
+    long = lambda x: (x % (1 << 64)).to_bytes(8, "little")
+    words = [h64(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    if not words:
+        return [0] * order_minhash.BINS
+    k = order_minhash.K
+    chain = lambda xs: __import__("functools").reduce(lambda seed, x: h64(long(x), seed), xs, 42)
+    kmers = [chain(words[i : i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [chain(words)]
+    seen, elements = {}, []
+    for place, x in enumerate(kmers):
+        high = signed(x) >> 24
+        o = seen[high] = seen.get(high, -1) + 1
+        e = h64((o % (1 << 32)).to_bytes(4, "little"), h64(long(high)))
+        elements.append((signed(e & ~((1 << 24) - 1)), place))
+    elements.sort()
+    out = []
+    for b in range(order_minhash.BINS):
+        low = (b - 32) << 58
+        at = next((i for i, (e, _) in enumerate(elements) if e >= low), len(elements))
+        chosen = [elements[(at + j) % len(elements)] for j in range(min(order_minhash.TUPLE, len(elements)))]
+        if len(elements) == 1:
+            chosen = [elements[0]] * order_minhash.TUPLE
+        ordered = sorted((place, (e % (1 << 64)) >> 25 & ((1 << 39) - 1)) for e, place in chosen)
+        out.append(signed(chain([x for _, x in ordered]) >> 32, 32))
+    return out
+
+
+def test_fingerprints_against_plain_python(spark, docs):
+    texts = [r["text"] for r in docs.limit(40).collect()] + ["one", "one two", "a b a b a b a b", "é ü é ü " * 9, "", "x" * 100]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r["k"]: r["m"] for r in order_minhash.add_fingerprint(df, "text", "m").collect()}
+    assert got == {k: plain_signature(t) for k, t in enumerate(texts)}
+    rows = {r["doc_id"]: r for r in order_minhash.fingerprints(docs).collect()}
+    show = lambda sig: "".join(f"{x % (1 << 32):08X}" for x in sig)
+    ordered = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    for i in range(0, len(ordered), 9):
+        (doc, text), nxt = ordered[i], ordered[(i + 1) % len(ordered)][1]
+        mine, h = plain_signature(text), len(text) // 2
+        edited, following = plain_signature(text[: len(text) - h] + nxt[:h]), plain_signature(nxt)
+        like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / order_minhash.BINS
+        r = rows[doc]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (show(mine), show(edited))
+        assert (r["near_edited"], r["near_next"]) == (like(mine, edited), like(mine, following))
+
+
+def test_more_kmers_than_places(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "POSITIONS", 64)
+    base = [f"w{k}" for k in range(900)]
+    df = spark.createDataFrame([(0, " ".join(base)), (1, " ".join(base[450:] + base[:450])), (2, " ".join(base))], "k int, text string")
+    sign = {r["k"]: r["m"] for r in order_minhash.add_fingerprint(df, "text", "m").collect()}
+    assert sign[0] == sign[2] != sign[1]
+
+
 def test_likeness_follows_edits(spark):
     rng = np.random.default_rng(1)
     base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
@@ -315,8 +373,8 @@ def test_url_filter(spark, monkeypatch):
     rows = [(i, u, t, "k", "v") for i, (u, t) in enumerate((u, t) for u in urls for t in times)]
     captures = spark.createDataFrame(rows, "page_id long, url string, fetched_at string, key string, host string")
     entries = spark.createDataFrame([*log, (None, "x", "block", "2024-01-01")], "scope string, pattern string, action string, listed_at string")
-    for hot in (url_filter.HOT, 2):
-        monkeypatch.setattr(url_filter, "HOT", hot)
+    for shares in (common.SHARES, 12):
+        monkeypatch.setattr(common, "SHARES", shares)
         got = {r["page_id"]: r["status"] for r in url_filter.judge(captures, entries).collect()}
         assert got == {i: plain_status(u, t, log) for i, u, t, _, _ in rows}
     assert url_filter.judge(captures.limit(0), entries).count() == 0
