@@ -9,8 +9,9 @@ The trees learn from at most MAX_LABELLED labelled rows (those whose id hashes
 lowest), a fifth of them set aside to fit the calibration.  Scoring is one
 projection over the corpus.
 
-Defined edge cases: a null or empty text has all features 0 and gets the score of
-such a row; null labels and labels without a document are ignored, several labels
+Defined edge cases: a null or empty text has all features 0 but ``words``, which is the
+logarithm of 2 as for any text without words, and gets the score of such a row; null
+labels and labels without a document are ignored, several labels
 of a document count as the highest; without both classes the score is the
 smoothed share of label 1.  Repeated rows are scored one by one.
 """
@@ -77,6 +78,7 @@ def _count(text: pa.Array, insults: np.ndarray, stems: tuple[np.ndarray, ...], y
     raw, off = common.utf8(text)
     low, low_off = common.utf8(pc.utf8_lower(text.fill_null("") if text.null_count else text))
     chars = np.diff(off) + 1.0
+    out[11] = np.log(2)
     if not len(raw):
         return out
     total = lambda row, weight=None: np.bincount(row, weight, minlength=n)
@@ -184,13 +186,14 @@ def _boost(train: DataFrame, vector: str, label: str):
 
 def _isotonic(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Pool-adjacent-violators over sorted (score, label): steps as (least score, calibrated value)."""
-    blocks: list[list[float]] = []  # least score, sum, weight
+    points: dict[float, list[float]] = {}
     for x, y in sorted(pairs):
-        if blocks and blocks[-1][0] == x:
-            blocks[-1][1] += y
-            blocks[-1][2] += 1
-        else:
-            blocks.append([x, y, 1.0])
+        point = points.setdefault(x, [x, 0.0, 0.0])
+        point[1] += y
+        point[2] += 1
+    blocks: list[list[float]] = []  # least score, sum, weight
+    for point in points.values():
+        blocks.append(point)
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             _, s, w = blocks.pop()
             blocks[-1][1] += s
@@ -219,7 +222,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         .agg(F.max("label").alias("label"))
         .where(fold("doc_id") != 0)
     )
-    marks = common.bounded(marks, "doc_id", max_labelled)
+    # only labels of documents that are there count towards the bound
+    there = docs.select(F.col(id_col).alias("doc_id"))
+    marks = common.bounded(common.cut(marks.join(there, "doc_id", "left_semi")), "doc_id", max_labelled)
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = common.cut(plain.join(F.broadcast(marks), "doc_id"))
     aside = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
