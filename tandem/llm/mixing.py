@@ -6,8 +6,12 @@
 2. ``posteriors`` gives every document its probability of each domain.
 3. ``fit_rates`` finds nonnegative rates r that minimise ||A r - T||^2 by projected
    gradient, where A[k, d] is the tokens of document d times its probability of
-   domain k, and T the targets.  A step needs only the K expected totals and K*K
-   moments, which one aggregation over (tokens, posteriors) gives.
+   domain k, and T the targets.  Documents of one cell of a grid over the posteriors
+   share a rate, so one distributed aggregation gives all that the walk needs, exactly:
+   the tokens of each cell by domain.  The grid has at most CELLS cells, whatever the
+   corpus.  The walk goes on until the optimality condition holds.  Where the targets
+   are not met, the cells with a positive rate are split and the walk is taken again,
+   until they are no wider than FINEST or splitting gains nothing.
 
 Main path: DataFrame functions only.
 
@@ -15,8 +19,8 @@ Defined edge cases: null and empty texts have no tokens and cannot help a target
 so their rate stays at the start value 1; null labels and labels of missing
 documents are ignored, several labels of a document count each; without labelled
 documents every posterior is uniform over the targets' domains; a target of a
-domain no document can be in is left unmet, and targets that no rates can meet are
-approached for STEPS trials at most.  Repeated rows each have a rate.
+domain no document can be in is left unmet, and of targets that no rates can meet the
+nearest totals are reached.  Repeated rows each have a rate.
 """
 
 from __future__ import annotations
@@ -38,9 +42,10 @@ STATISTICS = ("length", "word_length", "symbols", "capitals", "digits", "bangs",
 PULL = 5.0
 #: Words of a text are not independent; each counts by this share, so that one word alone does not decide.
 TEMPER = 0.3
-STEPS, TOLERANCE = 60, 1e-4
-#: A rate up to this one that the gradient would lower is held at zero.
-BOUND = 1e-3
+#: Cells of the grid over the posteriors at most, and the width at which a cell is not split further.
+CELLS, FINEST = 5_000, 1e-4
+#: Targets count as met within this share of all tokens; the walk ends within this of its optimum.
+MET, OPTIMAL = 1e-6, 1e-9
 
 
 def words_of(text: Column) -> Column:
@@ -86,7 +91,10 @@ def _bin_of(x: Column, cuts: tuple[float, ...]) -> Column:
 def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> Domains:
     """Learns from labelled (id_col, domain_col) rows of docs; only domains in names count."""
     marks = labelled.select(F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("_domain")).where(F.col("_domain").isin(names) & F.col("_id").isNotNull())
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(common.bounded(marks, "_id", MAX_LABELLED)), "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    # only labels of documents that are there count towards the bound
+    marks = common.bounded(common.cut(marks.join(texts.select("_id"), "_id", "left_semi")), "_id", MAX_LABELLED)
+    rows = texts.join(F.broadcast(marks), "_id")
     rows = rows.withColumn("_all", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
     table = common.cut(rows.select("_domain", *[c.alias(k) for k, c in statistics(F.col("text"), F.size("_all")).items()], F.array_distinct("_all").alias("_words")))
     total = {r["_domain"]: r["count"] for r in table.groupBy("_domain").count().collect()}
@@ -145,66 +153,128 @@ def posteriors(docs: DataFrame, domains: Domains, text_col: str = "text") -> tup
 
 @dataclass(frozen=True)
 class Rates:
-    """The rate of a document is the projected walk from 1 along `steps`: of each, the miss by domain and the move."""
+    """A rate for each cell: of the whole grid, or, of cells that were split, of the cells inside."""
 
-    steps: tuple[tuple[tuple[float, ...], tuple[float, ...]], ...]
+    grids: tuple[int, ...]  # cells to a side, twice as many from level to level
+    whole: tuple[float, ...]  # rates by cell number of the first level
+    split: tuple[tuple[int, ...], ...]  # of each level, the cells that the next level splits
+    inside: tuple[dict[int, float], ...]  # rates by cell number of the later levels
     totals: tuple[float, ...]
     targets: tuple[float, ...]
 
-    def column(self, p: str = "p") -> Column:
-        if not self.steps:
-            return F.lit(1.0)
-        path = F.from_json(F.lit(repr([[list(miss), list(move)] for miss, move in self.steps])), "array<array<array<double>>>")
-        along = lambda v: sum((F.col(p)[i] * v[i] for i in range(1, len(self.targets))), F.col(p)[0] * v[0])
-        held = lambda r, s: (r <= BOUND) & (along(s[0]) > 0)
-        return F.aggregate(path, F.lit(1.0), lambda r, s: F.when(held(r, s), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), r - along(s[1]))))
-
-
-def fit_rates(soft: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Rates:
-    """Projected gradient on ||A r - T||^2 from r = 1, one aggregation of K and K*K sums a trial.
-
-    The gradient for document d is tokens_d * p_d . (A r - T), scaled by 1 / tokens_d, so
-    that documents of equal posteriors move alike.  Documents at zero that it would lower
-    further stay there; the others first try the Newton move, the miss times the inverse
-    of A A' over the positive rates, shortened twice if the residual does not fall.  The
-    plain gradient move, no longer than the inverse of the largest eigenvalue of A A',
-    always lowers it; the walk ends when that one gains less than the tolerance.
+    def column(self, p: str = "p", tokens: str | None = "tokens") -> Column:
+        """The rate of a row with posteriors p; without tokens it is 1."""
+        k = len(self.targets)
+        numbers = lambda values, kind: F.from_json(F.lit("[" + ",".join(map(repr, values)) + "]"), f"array<{kind}>")
+        rate = None
+        for level in range(len(self.grids) - 1, -1, -1):
+            cell = _cell(F.col(p), k, self.grids[level])
+            if level:
+                keys = sorted(self.inside[level - 1])
+                own = F.get(numbers([self.inside[level - 1][c] for c in keys], "double"), F.array_position(numbers(keys, "bigint"), cell).cast("int") - 1)
+            else:
+                own = F.get(numbers(self.whole, "double"), cell.cast("int"))
+            rate = own if rate is None else F.when(F.array_contains(numbers(self.split[level], "bigint"), cell), rate).otherwise(own)
+        return rate if tokens is None else F.when(F.col(tokens) > 0, rate).otherwise(F.lit(1.0))
+
+
+def _cell(p: Column, k: int, grid: int) -> Column:
+    """The number of the cell of `grid` parts a side that p lies in; the last probability follows from the others."""
+    return sum((F.floor(p[i] * grid).cast("long") * F.lit((grid + 1) ** i) for i in range(1, k - 1)), F.floor(p[0] * grid).cast("long")) if k > 1 else F.lit(0).cast("long")
+
+
+def grid_for(k: int, most: int = CELLS) -> int:
+    """The most parts a side, a power of two, with which a grid over k probabilities has at most `most` cells."""
+    grid = 1
+    while k > 1 and (2 * grid + 1) ** (k - 1) <= most:
+        grid *= 2
+    return grid
+
+
+def walk(a: np.ndarray, goal: np.ndarray, r: np.ndarray, optimal: float = OPTIMAL) -> np.ndarray:
+    """Projected gradient from r on ||r a - goal||^2 over r >= 0; a holds the tokens of each cell by domain.
+
+    The gradient of a cell is scaled by its tokens, so that cells of equal posteriors
+    move alike.  A Newton move on the cells that are free to move is tried first; where
+    it gains nothing, accelerated gradient moves follow, until no cell's own move would
+    lower the residual any more.
     """
-    k = len(targets)
-    goal = np.array(targets, float)
-
-    def totals(path: list) -> tuple[np.ndarray, np.ndarray]:
-        rated = soft.where("tokens > 0").select("tokens", "p", Rates(tuple(path), (), tuple(targets)).column().alias("r"))
-        row = rated.agg(
-            *[F.sum(F.col("tokens") * F.col("r") * F.col("p")[i]).alias(f"t{i}") for i in range(k)],
-            *[F.sum(F.when(F.col("r") > BOUND, F.col("tokens") * F.col("p")[i] * F.col("p")[j])).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)],
-        ).first()
-        t = np.array([row[f"t{i}"] or 0.0 for i in range(k)])
-        m = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        return t, m
-
-    done: list = []
-    now, gram = totals(done)
-    size = max(1.0, float(np.abs(goal).sum()))
-    widest = max(1e-12, float(np.linalg.eigvalsh(gram)[-1]))
-    tried = 0
-    while tried < steps and np.abs(now - goal).max() > tolerance * size:
-        miss = now - goal
-        newton = np.linalg.solve(gram + 1e-9 * max(1e-12, float(np.trace(gram))) * np.eye(k), miss)
-        for n, move in enumerate((newton, newton / 4, newton / 16, miss / widest)):
-            step = (tuple(miss.tolist()), tuple(move.tolist()))
-            trial, trial_gram = totals([*done, step])
-            tried += 1
-            gain = np.linalg.norm(miss) - np.linalg.norm(trial - goal)
-            if gain > (tolerance * size if n < 3 else 0):
+    tokens = a.sum(axis=1)
+    p = a / tokens[:, None]
+    size = max(float(np.abs(goal).sum()), float(tokens.sum()), 1e-300)
+    a, goal = a / size, goal / size
+    widest = float(np.linalg.eigvalsh(a.T @ p)[-1])
+    before, pace = r, 1.0
+    stalled, last = 0, np.inf
+    while True:
+        miss = r @ a - goal
+        slope = p @ miss
+        off = np.linalg.norm(miss)
+        # what is left to gain: cells at zero that would grow, others that would move
+        if off <= optimal or np.abs(r - np.maximum(0.0, r - slope)).max() <= optimal:
+            return r
+        free = (r > 0) | (slope < 0)
+        newton = p @ (np.linalg.pinv(a[free].T @ p[free], rcond=1e-10, hermitian=True) @ miss)
+        for part in (1.0, 0.25, 0.0625):
+            trial = np.maximum(0.0, r - part * np.where(free, newton, 0.0))
+            if np.linalg.norm(trial @ a - goal) <= off * (1 - 0.1 * part):
+                before, r, pace = trial, trial, 1.0
                 break
-        if gain <= 0:
-            break
-        done.append(step)
-        now, gram = trial, trial_gram
-        if gain < 0.1 * tolerance * size:
+        else:
+            for _ in range(200):
+                ahead = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+                point = r + (pace - 1) / ahead * (r - before)
+                new = np.maximum(0.0, point - p @ (point @ a - goal) / widest)
+                if ((point - new) * tokens) @ (new - r) > 0:  # it swings: begin anew
+                    ahead, new = 1.0, np.maximum(0.0, r - p @ (r @ a - goal) / widest)
+                before, r, pace = r, new, ahead
+            now = float(np.linalg.norm(r @ a - goal))
+            stalled = stalled + 1 if last - now <= 1e-3 * OPTIMAL else 0
+            last = now
+            if stalled > 3:  # no move gains anything that a double could show
+                return r
+
+
+def fit_rates(soft: DataFrame, targets: list[float]) -> Rates:
+    """The rates of documents (tokens, p) whose expected domain totals come nearest to the targets, starting from 1."""
+    k, goal = len(targets), np.array(targets, float)
+    rows = soft.where("tokens > 0").select("tokens", "p")
+
+    def totals(cells: DataFrame) -> dict[int, np.ndarray]:
+        sums = cells.groupBy("cell").agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(k)])
+        return {r["cell"]: np.array([r[f"t{i}"] for i in range(k)]) for r in sums.collect()}  # CELLS rows, or the cells inside of those split
+
+    grids, split, inside = [grid_for(k)], [], []
+    found = totals(rows.select("tokens", "p", _cell(F.col("p"), k, grids[0]).alias("cell")))
+    whole = [1.0] * (grids[0] + 1) ** (k - 1)
+    if not found:
+        return Rates(tuple(grids), tuple(whole), (), (), (0.0,) * k, tuple(goal.tolist()))
+    # every cell that is not split: (level, cell) and its tokens by domain
+    keys, a = [(0, c) for c in sorted(found)], np.array([found[c] for c in sorted(found)])
+    r = walk(a, goal, np.ones(len(a)))
+    size = max(float(np.abs(goal).sum()), 1e-300)
+    while np.abs(r @ a - goal).max() > MET * size and 1 / grids[-1] > FINEST:
+        level = len(grids) - 1
+        chosen = [i for i, (lev, _) in enumerate(keys) if lev == level and r[i] > 0]
+        if not chosen or len(chosen) * 2 ** (k - 1) > CELLS:
             break
-    return Rates(tuple(done), tuple(now.tolist()), tuple(goal.tolist()))
+        split.append(tuple(keys[i][1] for i in chosen))
+        there = F.lit(True)
+        for lev, cells in enumerate(split):
+            there = there & _cell(F.col("p"), k, grids[lev]).isin(list(cells))
+        grids.append(2 * grids[-1])
+        found = totals(rows.where(there).select("tokens", "p", _cell(F.col("p"), k, grids[-1]).alias("cell")))
+        rest = [i for i in range(len(keys)) if i not in set(chosen)]
+        keys = [keys[i] for i in rest] + [(level + 1, c) for c in sorted(found)]
+        a = np.concatenate([a[rest], [found[c] for c in sorted(found)]])
+        r = walk(a, goal, np.concatenate([r[rest], np.ones(len(found))]))
+        inside.append({})
+    for (level, cell), x in zip(keys, r.tolist(), strict=True):
+        if level:
+            inside[level - 1][cell] = x
+        else:
+            whole[cell] = x
+    return Rates(tuple(grids), tuple(whole), tuple(split), tuple(inside), tuple((r @ a).tolist()), tuple(goal.tolist()))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", budget: float | None = None) -> DataFrame:
@@ -219,7 +289,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     soft = common.cut(soft.select("doc_id", F.col(tokens).alias("tokens"), F.col(p).alias("p")))
     total = float(budget if budget is not None else soft.agg(F.sum("tokens")).first()[0] or 0)
     scale = sum(weights.values())
-    rates = fit_rates(soft, [total * weights[k] / scale for k in names])
+    rates = fit_rates(soft.select("tokens", "p"), [total * weights[k] / scale for k in names])
     return soft.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{k}") for i, k in enumerate(names)], rates.column().alias("rate"))
 
 
@@ -240,7 +310,7 @@ def resample(docs: DataFrame, labelled: DataFrame, factors: dict[str, float], id
     goal = small.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * wanted).alias(f"t{i}") for i in range(k)]).first()
     rates = fit_rates(small, [goal[f"t{i}"] or 0.0 for i in range(k)])
     share = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    rate = rates.column(p) + F.lit(1e-9)
+    rate = rates.column(p, tokens) + F.lit(1e-9)
     copies = (F.floor(rate) + (share < rate - F.floor(rate)).cast("long")).cast("int")
     (n,) = common.fresh(table, "n")
     return table.withColumn(n, copies).where(F.col(n) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(n))).alias(n)).drop(n)
