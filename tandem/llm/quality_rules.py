@@ -236,10 +236,13 @@ def fit(counts: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max
     return DecisionList(tuple(rules))
 
 
-def learn(measured: DataFrame, labels: DataFrame, counts: str = "counts", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DecisionList:
-    """Fits the list on at most `max_labelled` labelled rows of `measured` (columns id_col and counts)."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DecisionList:
+    """Fits the list on at most `max_labelled` labelled documents, the only ones measured for it."""
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
-    rows = measured.select(F.col(id_col).alias("_id"), F.col(f"{counts}.*")).join(common.bounded(marks, "_id", max_labelled), "_id").orderBy(F.xxhash64("_id"), *MEASURES).limit(max_labelled).toPandas()
+    marks = common.bounded(common.cut(marks.join(texts.select("_id"), "_id", "left_semi")), "_id", max_labelled)
+    rows = texts.join(F.broadcast(marks), "_id").select("_id", "_y", measure("_text").alias("_m")).select("_id", "_y", "_m.*")
+    rows = rows.orderBy(F.xxhash64("_id"), *MEASURES).limit(max_labelled).toPandas()
     if not len(rows) or rows["_y"].nunique() < 2:
         return DecisionList(())
     return fit({c: rows[c].to_numpy() for c in MEASURES}, rows["_y"].to_numpy() == 0)
@@ -251,21 +254,16 @@ def base_failed(counts: str) -> Column:
     return (words < 10) | (100 * repeated > 20 * words)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str, DecisionList]:
-    """docs with a struct of counts and a boolean verdict; returns their column names and the list."""
-    counts, kept = common.fresh(docs, "counts", "kept")
-    table = common.cut(docs.select(F.col(id_col).alias("doc_id"), measure(F.col(text_col)).alias(counts)))
-    rules = learn(table, labels.withColumnRenamed(id_col, "doc_id"), counts)
-    return table, counts, kept, rules
-
-
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its counts, base_failed and kept."""
-    table, counts, kept, rules = judge(docs, labels, id_col, text_col)
-    return table.select("doc_id", *[F.col(f"{counts}.{c}") for c in MEASURES[:5]], base_failed(counts).alias("base_failed"), (~base_failed(counts) & rules.keep(counts)).alias("kept"))
+    rules = learn(docs, labels, id_col, text_col)
+    table = docs.select(F.col(id_col).alias("doc_id"), measure(F.col(text_col)).alias("counts"))
+    kept = ~base_failed("counts") & rules.keep("counts")
+    return table.select("doc_id", *[F.col(f"counts.{c}") for c in MEASURES[:5]], base_failed("counts").alias("base_failed"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that the base rule and the learned list keep, all columns as they were."""
-    _, counts, _, rules = judge(docs, labels, id_col, text_col)
+    (counts,) = common.fresh(docs, "counts")
+    rules = learn(docs, labels, id_col, text_col)
     return docs.withColumn(counts, measure(F.col(text_col))).where(~base_failed(counts) & rules.keep(counts)).drop(counts)
