@@ -159,6 +159,20 @@ def test_decision_list_learns_a_planted_rule():
     assert quality_rules.fit(counts, np.zeros(n, bool)).rules == ()
 
 
+def test_rules_as_columns_and_in_plain_python_agree(spark):
+    rng = np.random.default_rng(14)
+    rules = quality_rules.DecisionList((
+        quality_rules.Rule((("symbol_rate", True, 0.1), ("n_words", False, 30.0)), 1, 1.0), quality_rules.Rule((("upper_rate", True, 0.3),), 1, 1.0), quality_rules.Rule((("line_rate", True, 0.2),), 1, 1.0),
+    ))
+    texts = ["".join(rng.choice(list("aB # \n1!|x "), rng.integers(0, 120))) for _ in range(300)] + ["", "A" * 3, "word " * 900_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", quality_rules.measure("text").alias("counts")).select("k", "counts", rules.keep("counts").alias("kept"))
+    for r in df.collect():
+        rates = quality_rules._rates(r["counts"].asDict())
+        assert r["kept"] == (not any(all(rates[n] >= x if least else rates[n] <= x for n, least, x in rule.tests) for rule in rules.rules))
+        if r["k"] % 40 == 0 or r["k"] > 299:
+            assert tuple(r["counts"])[:5] == plain_counts(texts[r["k"]])
+
+
 def test_quality_query(spark, docs, odd):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, labels).collect()}
@@ -166,6 +180,22 @@ def test_quality_query(spark, docs, odd):
         n_words, _, _, _, repeated = plain_counts(d["text"])
         r = rows[d["doc_id"]]
         assert r["base_failed"] == (n_words < 10 or 100 * repeated > 20 * n_words) and not (r["base_failed"] and r["kept"])
+    rules = quality_rules.learn(docs, labels)
+    texts = {d["doc_id"]: d["text"] for d in docs.collect()}
+
+    def rejected(t):
+        t = t or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, chars, symbols, dup, repeat = plain_counts(t)
+        rate = {
+            "n_words": n, "mean_word_chars": chars / (n + 1), "symbol_rate": symbols / (n + 1), "dup_line_rate": dup / (len(lines) + 1), "repeat_rate": repeat / (n + 1),
+            "upper_rate": len(re.findall("[A-Z]", t)) / (chars + 1), "digit_rate": len(re.findall("[0-9]", t)) / (chars + 1), "bang_rate": len(re.findall("[!?]", t)) / (n + 1),
+            "bar_rate": t.count("|") / (n + 1), "line_rate": len(lines) / (n + 1), "short_rate": sum(len(w) <= 2 for w in words) / (n + 1),
+        }
+        return any(all(rate[k] >= x if least else rate[k] <= x for k, least, x in rule.tests) for rule in rules.rules)
+
+    assert all(r["kept"] == (not r["base_failed"] and not rejected(texts[i])) for i, r in rows.items())
     kept = quality_rules.keep_good(docs, labels)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]}
     none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")
