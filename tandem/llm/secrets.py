@@ -7,6 +7,10 @@ after its surroundings with a compressor primed by a dictionary of code and
 identifier text.  Words, paths and repeats of the surroundings add few bytes; a
 key adds nearly as many as it has characters of entropy.
 
+Surroundings are WINDOW characters before a string and half as many after it, so a
+sensitive word further off does not make a string a secret.  Strings have no greatest
+length: long ones are weighed in chunks, dotted ones by their parts too.
+
 Offsets are code points, ends exclusive.  Defined edge cases: a null or empty
 text has no spans; repeated rows are scanned one by one; a ``novel`` span that
 a base span covers is not reported again; other columns pass through.  Strings that
@@ -18,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -127,34 +133,54 @@ def _private_keys(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class _Cover:
+    """What the base spans, in order of their starts, say about a stretch of text."""
+
+    def __init__(self, base: list[tuple[int, int, int]]):
+        self.starts = [x for x, _, _ in base]
+        self.reach = list(accumulate((y for _, _, y in base), max))  # the furthest end of the spans so far
+
+    def met(self, a: int, b: int) -> tuple[int, int] | None:
+        """The least start and the greatest end of the spans that overlap a..b."""
+        n = bisect_left(self.starts, b)
+        first = bisect_right(self.reach, a, 0, n)
+        return (self.starts[first], self.reach[n - 1]) if first < n else None
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether one span covers a..b."""
+        n = bisect_right(self.starts, a)
+        return n > 0 and self.reach[n - 1] >= b
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = MIN_NOVELTY) -> list[tuple[int, int, int]]:
+    """(start, 3, end) of the strings that are novel where they stand, and of the bodies of private keys."""
     out = []
     if not SENSITIVE.search(text):
         return out
     keys = _private_keys(text) if "-----BEGIN" in text else []
-    inside = iter(keys)
+    cover, inside = _Cover(base), iter(keys)
     key = next(inside, None)
     last = None  # where the last novel string ended: strings that adjoin it are as sensitive
     for m in CANDIDATE.finditer(text):
         word = m[0].strip(".")
-        a = m.start() + m[0].index(word) if word else m.start()
-        b = a + len(word)
         if len(word) < 16:
             continue
+        a = m.start() + m[0].index(word)
+        b = a + len(word)
         while key and key[1] <= a:
             key = next(inside, None)
         if key and key[0] < b:
             continue  # taken whole below
-        over = [(x, y) for x, _, y in base if x < b and a < y]
+        over = cover.met(a, b)
         # a base span takes the string; one that reaches beyond it is weighed as a whole
-        if over and max(y for _, y in over) >= b and min(x for x, _ in over) - a < 16:
+        if over and over[1] >= b and over[0] - a < 16:
             continue
         near = text[max(0, a - WINDOW) : a] + " " + text[b : b + WINDOW // 2]
         carried = last is not None and a - last <= WINDOW and BETWEEN.fullmatch(text, last, a) is not None
         if (carried or SENSITIVE.search(near)) and _novel(text, a, b, near, novelty, least):
             out.append((a, 3, b))
             last = b
-    out += [(a, 3, b) for a, b in keys if not any(x <= a and b <= y for x, _, y in base)]
+    out += [(a, 3, b) for a, b in keys if not cover.holds(a, b)]
     return sorted(out)
 
 

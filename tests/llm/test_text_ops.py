@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tandem.llm import common, order_minhash, piece_lattice, quality_rules, queries, secrets, token_counts, url_filter
@@ -259,6 +261,58 @@ def test_whole_keys_are_found(spark):
     assert "and more" in out[0] and "ends" in out[1] and "-----END RSA PRIVATE KEY-----" in out[2] and "words" in out[3]
 
 
+def plain_novel(t):
+    """Novel spans where no key adjoins another and none is private, measured anew."""
+    zip_ = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(secrets.DICTIONARY, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda x: len(zip_.compress(x.encode()))
+    base, out, i = plain_base(t), [], 0
+    while i < len(t):
+        j = i
+        while j < len(t) and (t[j].isascii() and (t[j].isalnum() or t[j] in "+/_=.-")):
+            j += 1
+        if j == i:
+            i += 1
+            continue
+        a, b = i + len(t[i:j]) - len(t[i:j].lstrip(".")), j - (len(t[i:j]) - len(t[i:j].rstrip(".")))
+        i = j
+        over = [(x, y) for x, _, y, _ in base if x < b and a < y]
+        if b - a < 16 or (over and max(y for _, y in over) >= b and min(x for x, _ in over) - a < 16):
+            continue
+        near = t[max(0, a - 96) : a] + " " + t[b : b + 48]
+        if not secrets.SENSITIVE.search(near):
+            continue
+        pieces = [t[a:b], *(t[a:b].split(".") if "." in t[a:b] else [])]
+        chunks = [x[k : k + 512] for x in pieces for k in range(0, len(x), 512) if len(x) >= 16]
+        mixed = lambda x: len(x) >= 16 and any(c in "0123456789" for c in x) and any(c.isalpha() for c in x)
+        if mixed(t[a:b]) and any(mixed(c) and (size(near + c) - size(near)) / len(c) >= 0.6 for c in chunks):
+            out.append((a, 3, b))
+    return out
+
+
+def test_novel_spans_against_plain_python():
+    rng = random.Random(21)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    fill = ["the", "function", "return", "value", "secret", "token", "auth", "bearer", "credential", "password=hunter2222", "configuration1_configuration2", "https://www.example.com/index.html", "aaaaaaaaaaaaaaaaaaaa1", "é", "x.y.z"]
+    novelty, seen = secrets.Novelty(), 0
+    for n in range(300):
+        parts = [rng.choice(fill) for _ in range(rng.randint(1, 60))]
+        for _ in range(rng.randint(0, 4)):
+            parts.insert(rng.randrange(len(parts) + 1), "word " + "".join(rng.choices(alphabet, k=rng.choice([12, 16, 24, 40, 200, 600]))) + rng.choice(["", ".", "." + "".join(rng.choices(alphabet, k=20))]) + " word")
+        text = " ".join(parts)
+        got = secrets.novel_spans(text, secrets.base_spans(text), novelty)
+        assert got == plain_novel(text), text
+        seen += len(got)
+    assert seen > 50
+
+
+def test_many_spans_take_linear_time():
+    text = "token=abcdef12 AbCdEfGh12345678IjKl " * 20_000
+    start = time.time()
+    base = secrets.base_spans(text)
+    secrets.novel_spans(text, base, secrets.Novelty())
+    assert len(base) == 20_000 and time.time() - start < 60
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r["doc_id"]: r for r in secrets.redact(df).collect()}
