@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        before, docs = docs, common.cut(stage(spark, docs, sf_dir))
+        common.release(before)
     return docs

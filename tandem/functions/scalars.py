@@ -198,6 +198,23 @@ def metric_family(name: Column) -> Column:
     return first_match(F.lower(name), FAMILIES, "other")
 
 
+#: What to do with a metric of each unit (fixed values).
+GUIDANCE = {
+    "percentage/share": "Prefer component-count recomputation; otherwise use a clearly labelled weighted mean.",
+    "rate/rating": "Prefer possession weighting; package career summaries use minutes weighting.",
+    "count": "Sum only across non-overlapping segments.",
+    "metric-dependent": "Check pbpstats definition before interpreting or aggregating.",
+}
+
+
+def metric_guidance(name: Column) -> Column:
+    """How a metric may be aggregated, by its unit."""
+    unit, case = metric_unit(name), None
+    for key, text in GUIDANCE.items():
+        case = F.when(unit == key, text) if case is None else case.when(unit == key, text)
+    return case
+
+
 def metric_unit(name: Column) -> Column:
     low = F.lower(name)
     counted = F.lit(False)
@@ -209,3 +226,53 @@ def metric_unit(name: Column) -> Column:
         .when(counted, "count")
         .otherwise("metric-dependent")
     )
+
+
+def name_of_era(key: Column, year: Column, eras: list[tuple[int, int, int, str]], current: Column) -> Column:
+    """The name that a key had in a year: the first of eras (key, first year, last year, name) that holds, else the current one."""
+    case = F.when(F.lit(False), current)
+    for k, first, last, name in eras:
+        case = case.when((key == k) & year.between(first, last), F.lit(name))
+    return case.otherwise(current)
+
+
+def field(fields: Column, name: str) -> Column:
+    """A value of a map by name, whatever the case."""
+    return F.element_at(F.transform_keys(fields, lambda k, _: F.lower(k)), name.lower())
+
+
+def without(fields: Column, *names: str) -> Column:
+    """A map less some keys, whatever their case."""
+    gone = [n.lower() for n in names]
+    return F.map_filter(fields, lambda k, _: ~F.lower(k).isin(gone))
+
+
+def plain_number(text: Column) -> Column:
+    """`+1,234` as a number; null where there is none."""
+    return F.translate(text, ",+", "").try_cast("double")
+
+
+def strict_day(text: Column) -> Column:
+    """Is the text a day, `Month d, yyyy`, and nothing else?"""
+    return text.rlike(rf"^(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}}$")
+
+
+def wiki_label(start_year: Column) -> Column:
+    """2001 -> 2001–02, with an en dash"""
+    return F.concat(start_year.cast("string"), F.lit("–"), F.lpad(((start_year + 1) % 100).cast("string"), 2, "0"))
+
+
+def full_name(first: Column, last: Column, other: Column) -> Column:
+    """First and last name, or the other name where both are blank."""
+    return F.coalesce(F.nullif(F.trim(F.concat_ws(" ", F.nullif(F.trim(first), F.lit("")), F.nullif(F.trim(last), F.lit("")))), F.lit("")), other)
+
+
+def bounds_of(text: Column) -> tuple[Column, Column]:
+    """Least and greatest number of a JSON array; nulls where the text is none."""
+    numbers = F.from_json(text, "array<double>")
+    return F.array_min(numbers), F.array_max(numbers)
+
+
+def round_half_even(x: Column, digits: int) -> Column:
+    """Rounds the number as it is printed, halves to even: 0.125 becomes 0.12 and 2.675 becomes 2.68."""
+    return F.bround(x.cast("decimal(38,18)"), digits).cast("double")

@@ -6,8 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def best_matches(left: DataFrame, right: DataFrame, on: list[str], distance: Column, at_most: float, gap: Column, order: str, key: str, keep: int = 5) -> DataFrame:
-    """For each key of left its `keep` nearest rows of right with equal `on`, by distance, gap and order."""
-    near = left.join(right, on).withColumns({"distance": distance, "gap": gap}).where(F.col("distance") <= at_most)
+def best_matches(left: DataFrame, right: DataFrame, on: list[str], distance: Column, at_most: float, gap: Column, order: str, key: str, text: str, other_text: str, keep: int = 5) -> DataFrame:
+    """For each key of left its `keep` nearest other rows of right with equal `on`, by distance (of two texts), gap and order.
+
+    Distances are measured once for each pair of distinct texts, and texts too unlike in
+    length are not measured.
+    """
+    names = left.select(*on, text).distinct().join(right.select(*on, other_text).distinct(), on)
+    longest = F.greatest(F.length(text), F.length(other_text))
+    names = names.where(F.abs(F.length(text) - F.length(other_text)) <= at_most * longest).withColumn("distance", distance).where(F.col("distance") <= at_most)
+    near = left.join(names, [*on, text]).join(right, [*on, other_text]).where(F.col(key) != F.col(order)).withColumn("gap", gap)
     rank = F.row_number().over(Window.partitionBy(key).orderBy("distance", "gap", order))
     return near.withColumn("place", rank).where(F.col("place") <= keep)

@@ -43,6 +43,17 @@ def exactly_one(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), F.abs(F.col("n") - 1).alias("n_bad"), (F.col("n") == 1).alias("passed"))
 
 
+def row_count(rows: DataFrame, name: str, wanted: int) -> DataFrame:
+    """How many rows there are too many or too few."""
+    return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), F.abs(F.col("n") - wanted).alias("n_bad"), (F.col("n") == wanted).alias("passed"))
+
+
+def same_count(left: DataFrame, right: DataFrame, name: str, n: str) -> DataFrame:
+    """By how much two single-row tables differ in a count."""
+    both = left.select(F.col(n).alias("a")).crossJoin(right.select(F.col(n).alias("b")))  # two single rows
+    return both.select(F.lit(name).alias("check_name"), F.abs(F.col("a") - F.col("b")).cast("long").alias("n_bad"), (F.col("a") == F.col("b")).alias("passed"))
+
+
 def report(*checks: DataFrame) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:

@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions.scalars import MONTHS, strip_html
+
 #: Tags that open a block, and headings by level (fixed values).
 HEADINGS = ("h1", "h2", "h3", "h4")
 BLOCKS = (*HEADINGS, "p", "li", "td", "th")
@@ -31,6 +33,7 @@ class _Blocks(HTMLParser):
         if tag in ("script", "style"):
             self.skip += 1
         elif tag == "table":
+            self.close()  # what stands before a nested table belongs to the outer one
             self.seen_tables += 1
             self.tables.append([self.seen_tables, 0])
         elif tag == "tr" and self.tables:
@@ -100,12 +103,26 @@ class JsonWalk:
                 todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(x)))]
 
 
+def _beside(rows: DataFrame, made: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """The kept columns of rows beside those that a table function made of each, whatever names they share."""
+    return rows.alias("given").lateralJoin(made.alias("made")).select(*[F.col(f"given.`{c}`") for c in keep], *[F.col(f"made.{c}") for c in columns])
+
+
 def blocks_of(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
-    return pages.lateralJoin(HtmlBlocks(F.col(html).outer())).select(*keep, "block", "tag", "heading", "table_index", "row_index", "text", "links")
+    return _beside(pages, HtmlBlocks(F.col(html).outer()), keep, ["block", "tag", "heading", "table_index", "row_index", "text", "links"])
 
 
 def walk(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    return rows.lateralJoin(JsonWalk(F.col(text).outer())).select(*keep, "path", "kind", "value")
+    return _beside(rows, JsonWalk(F.col(text).outer()), keep, ["path", "kind", "value"])
+
+
+def dated_items(html: Column) -> Column:
+    """List items that begin with a date, `Month d, yyyy`: an array of (day, text) in page order."""
+    months = "|".join(MONTHS)
+    items = F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
+    pattern = rf"(?s)^\s*((?:{months}) \d{{1,2}}, \d{{4}})[\s:;,.–-]*(.*)$"
+    parts = F.transform(items, lambda x: F.struct(F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")), F.lit("MMMM d, yyyy"))).alias("day"), strip_html(F.regexp_extract(x, pattern, 2)).alias("text")))
+    return F.filter(parts, lambda x: x["day"].isNotNull())
 
 
 def matches_value(kind: Column, value: Column, wanted: float, tolerance: float = 1e-7) -> Column:

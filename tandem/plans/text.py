@@ -11,21 +11,20 @@ from tandem.plans.registry import query
 from tandem.sources.tables import table
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, upper(left(p_name, 4)) AS k FROM part),
+@query("""WITH p AS (SELECT p_partkey, p_name, lower(strip_accents(p_name)) AS k FROM part),
 ix AS (SELECT k, min(p_name) AS name FROM p GROUP BY k HAVING count(DISTINCT p_name) = 1)
 SELECT p_partkey, p_name, ix.name AS resolved FROM p LEFT JOIN ix ON p.k = ix.k""")
 def q_name_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Parts to the one name of their short key; keys that several names share resolve to nothing."""
-    p = table(spark, d, "part").select("p_partkey", "p_name", F.upper(F.substring("p_name", 1, 4)).alias("k"))
+    """Parts to the one part of their plain name; names that several parts share resolve to nothing."""
+    p = table(spark, d, "part").select("p_partkey", "p_name", S.plain_name("p_name").alias("k"))
     index = onoff.ambiguous_free_index(p.withColumnRenamed("p_name", "resolved"), "k", "resolved")
     return p.join(index, "k", "left").select("p_partkey", "p_name", "resolved")
 
 
-@query("""WITH w AS (SELECT doc_id, lower(strip_accents(left(text, 40))) AS plain FROM documents) SELECT doc_id, trim(plain, ' ' || chr(10)) AS plain FROM w""")
+@query("""WITH w AS (SELECT doc_id, replace(lower(strip_accents(text)), 'ß', 'ss') AS plain FROM documents) SELECT doc_id, trim(plain, ' ' || chr(9) || chr(10) || chr(13)) AS plain FROM w""")
 def q_accent_key(spark: SparkSession, d: str) -> DataFrame:
-    """The first 40 characters of each text as a key without accents and case; ß stays, as the SQL keeps it."""
-    kept = F.regexp_replace(F.substring("text", 1, 40), "ß", "\x01")
-    return table(spark, d, "documents").select("doc_id", F.translate(S.plain_name(kept), "\x01", "ß").alias("plain"))
+    """Each whole text without accents and case."""
+    return table(spark, d, "documents").select("doc_id", S.plain_name("text").alias("plain"))
 
 
 @query("""WITH w AS (SELECT doc_id, ' ' || lower(text) || ' ' AS t, len(text) AS n FROM documents)
@@ -80,9 +79,10 @@ def q_json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query()
+@query("""SELECT event_id, t.fullkey AS path, CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' ELSE 'null' END AS kind,
+  CAST(t.atom AS VARCHAR) AS value FROM events, json_tree(props) AS t""")
 def q_json_walk(spark: SparkSession, d: str) -> DataFrame:
-    """Paths and values of the events' properties; walking any depth has no SQL."""
+    """Paths and values of the events' properties, at any depth."""
     return textops.walk(table(spark, d, "events"), "props", ["event_id"])
 
 
@@ -94,15 +94,14 @@ def q_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(name.alias("name")).distinct().select("name", S.slug(F.col("name")).alias("slug"))
 
 
-@query("""WITH a AS (SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part WHERE p_partkey % 20 = 0),
-b AS (SELECT p_partkey AS other, p_name AS other_name, p_brand, p_size AS other_size FROM part WHERE p_partkey % 20 <> 0),
-c AS (SELECT a.p_partkey, b.other, CAST(levenshtein(p_name, other_name) AS DOUBLE) / greatest(len(p_name), len(other_name)) AS distance, abs(p_size - other_size) AS gap FROM a JOIN b USING (p_brand)),
+@query("""WITH b AS (SELECT p_partkey AS other, p_name AS other_name, p_brand, p_size AS other_size FROM part),
+c AS (SELECT a.p_partkey, b.other, CAST(levenshtein(p_name, other_name) AS DOUBLE) / greatest(len(p_name), len(other_name)) AS distance, abs(p_size - other_size) AS gap FROM part a JOIN b USING (p_brand) WHERE a.p_partkey <> b.other),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY distance, gap, other) AS INTEGER) AS place FROM c WHERE distance <= 0.6)
 SELECT p_partkey, other, distance, CAST(gap AS INTEGER) AS gap, place FROM r WHERE place <= 5""")
 def q_topk_match(spark: SparkSession, d: str) -> DataFrame:
-    """The five nearest names of the same brand for every twentieth part."""
+    """The five nearest other names of the same brand for every part."""
     p = table(spark, d, "part")
-    left = p.where("p_partkey % 20 = 0").select("p_partkey", "p_name", "p_brand", "p_size")
-    right = p.where("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", F.col("p_size").alias("other_size"))
-    out = matching.best_matches(left, right, ["p_brand"], S.edit_ratio(F.col("p_name"), F.col("other_name")), 0.6, F.abs(F.col("p_size") - F.col("other_size")), "other", "p_partkey")
+    left = p.select("p_partkey", "p_name", "p_brand", "p_size")
+    right = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", F.col("p_size").alias("other_size"))
+    out = matching.best_matches(left, right, ["p_brand"], S.edit_ratio(F.col("p_name"), F.col("other_name")), 0.6, F.abs(F.col("p_size") - F.col("other_size")), "other", "p_partkey", "p_name", "other_name")
     return out.select("p_partkey", "other", "distance", "gap", "place")

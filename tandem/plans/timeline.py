@@ -36,19 +36,21 @@ def q_before_after(spark: SparkSession, d: str) -> DataFrame:
     return tenure.before_after(e, marks, "user_id", "ts", "mark")
 
 
-@query("""WITH m AS (SELECT event_id AS mark_id, CAST(ts AS DATE) AS mark_day FROM events WHERE event_id % 500 = 0)
+@query("""WITH m AS (SELECT event_id AS mark_id, CAST(ts AS DATE) AS mark_day FROM events WHERE event_type = 'purchase')
 SELECT mark_id, CAST(ts AS DATE) - mark_day AS days_off, count(*) AS n FROM events JOIN m ON abs(CAST(ts AS DATE) - mark_day) <= 2 GROUP BY ALL""")
 def q_near_days(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the days around every purchase; they are counted by day first, so a mark meets 5 rows at most."""
     e = _events(spark, d).withColumn("day", F.to_date("ts"))
-    marks = e.where("event_id % 500 = 0").select(F.col("event_id").alias("mark_id"), F.col("day").alias("mark_day"))
-    return tenure.near_days(e, marks, "day", "mark_day", 2).groupBy("mark_id", F.datediff("day", "mark_day").cast("long").alias("days_off")).agg(F.count(F.lit(1)).alias("n"))
+    marks = e.where("event_type = 'purchase'").select(F.col("event_id").alias("mark_id"), F.col("day").alias("mark_day"))
+    daily = e.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return tenure.near_days(daily, marks, "day", "mark_day", 2).select("mark_id", F.datediff("day", "mark_day").cast("long").alias("days_off"), "n")
 
 
-@query("""WITH m AS (SELECT event_id AS mark_id FROM events WHERE event_id % 500 = 0)
+@query("""WITH m AS (SELECT event_id AS mark_id FROM events WHERE event_type = 'purchase')
 SELECT mark_id, event_id, event_type, event_id - mark_id AS off FROM events JOIN m ON event_id BETWEEN mark_id - 6 AND mark_id + 6""")
 def q_near_seq(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    marks = e.where("event_id % 500 = 0").select(F.col("event_id").alias("mark_id"))
+    marks = e.where("event_type = 'purchase'").select(F.col("event_id").alias("mark_id"))
     return tenure.near_numbers(e, marks, "event_id", "mark_id", 6).select("mark_id", "event_id", "event_type", (F.col("event_id") - F.col("mark_id")).alias("off"))
 
 

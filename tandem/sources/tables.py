@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,53 @@ def metric_map(text: Column, row: str) -> Column:
     return F.from_json(text, f"map<string, array<{row}>>")
 
 
+def list_results(text: Column, row: str) -> Column:
+    """The list under `results`; none where it is missing."""
+    return F.coalesce(F.from_json(text, f"results array<{row}>")["results"], F.array().cast(f"array<{row}>"))
+
+
+def totals_row(rows: Column, wanted: Callable[[Column], Column]) -> Column:
+    """The only row, else the wanted one, else the first, else null."""
+    hits = F.filter(rows, wanted)
+    return F.when(F.size(rows) == 1, F.get(rows, F.lit(0))).otherwise(F.coalesce(F.get(hits, F.lit(0)), F.get(rows, F.lit(0))))
+
+
+def feed_rows(text: Column) -> Column:
+    """Rows of a feed as maps: objects as they are, lists under their headers (or columns)."""
+    lists = F.from_json(text, "headers array<string>, columns array<string>, rows array<array<string>>")
+    objects = F.from_json(text, "rows array<map<string, string>>")["rows"]
+    names = F.coalesce(lists["headers"], lists["columns"])
+    return F.when(names.isNotNull(), F.transform(lists["rows"], lambda r: F.map_from_arrays(names, r))).otherwise(objects)
+
+
+def at_least(found: DataFrame, column: str, least: int, stated: list[int]) -> DataFrame:
+    """The distinct values found, or the stated ones where fewer than `least` were."""
+    values = found.select(column).distinct()
+    few = values.agg((F.count(F.lit(1)) < least).alias("few"))
+    fallback = found.sparkSession.createDataFrame([(x,) for x in stated], f"{column} long")
+    one = lambda df, want: df.crossJoin(F.broadcast(few)).where(F.col("few") == want).select(column)  # one row
+    return one(values, False).unionByName(one(fallback, True))
+
+
+def read_checkpoints(spark: SparkSession, path: str, schema: str, rows: str) -> DataFrame:
+    """The rows of all complete checkpoint documents under a folder of folders, a column `complete` in each."""
+    docs = read_documents(spark, path, schema).where("complete")
+    return docs.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
+def read_years(spark: SparkSession, paths: list[str], key: str, wanted: list[int]) -> DataFrame:
+    """Parquet files of several years as one table; the filter on keys reaches the scan."""
+    return spark.read.parquet(*paths).where(F.col(key).isin(wanted))
+
+
+def read_csv_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header, or a table without rows where there is no file or an empty one."""
+    try:
+        return spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*.csv*").csv(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, one per file (gzip too); a damaged file reads as one row of nulls."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path)
