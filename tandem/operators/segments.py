@@ -15,9 +15,9 @@ def derive(rows: DataFrame, own: Column, rate: Column, cap: Column) -> DataFrame
     Reasons in this order: a metric is missing, the count is no integer, no count fits the rate.
     """
     count = S.lenient_long(own)
-    found = rows.withColumns({"own": count, "rate": rate}).withColumn("candidates", intervals.hidden_counts(F.col("own"), F.col("rate"), cap))
-    error = F.when(S.lenient_double(own).isNull() | rate.isNull(), "missing metric").when(F.col("own").isNull(), "count is no integer").when(F.size("candidates") == 0, "no count fits")
-    return found.withColumns({"error": error, "exact": error.isNull() & (F.size("candidates") == 1)})
+    found = rows.withColumns({"own": count, "rate": rate, "_shown": S.lenient_double(own)}).withColumn("candidates", intervals.hidden_counts(F.col("own"), F.col("rate"), cap))
+    error = F.when(F.col("_shown").isNull() | F.col("rate").isNull(), "missing metric").when(F.col("own").isNull(), "count is no integer").when(F.size("candidates") == 0, "no count fits")
+    return found.withColumns({"error": error, "exact": error.isNull() & (F.size("candidates") == 1)}).drop("_shown")
 
 
 def task_states(segments: DataFrame, by: str) -> DataFrame:
