@@ -41,9 +41,9 @@ from tandem.llm import common
 from tandem.llm.token_counts import load, pretokens, splits_at_spaces
 
 SPACE = "▁"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: Characters of pre-tokens that are indexed at once (a longer word stands alone): bounds the suffix array and the edges.
-BLOCK_CHARS = 1 << 18
+BLOCK_CHARS = 1 << 19
 #: Longest pre-token relaxed in one go, and the step and overlap of the windows of longer ones.
 LONG, STEP, OVERLAP = 4096, 1024, 256
 _NEVER = np.int64(1 << 40)
