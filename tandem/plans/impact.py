@@ -6,7 +6,7 @@ suppliers of an order, exposure = quantity.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
@@ -45,11 +45,20 @@ def split(spark: SparkSession, d: str) -> DataFrame:
     return onoff.on_off(on, groups.additive_totals(on, KEYS[:2], SUMS), KEYS[:2], SUMS)
 
 
+def rates(side: str = "") -> dict[str, Column]:
+    """The metrics of one side's sums, whose columns begin with `side`."""
+    c = lambda name: F.col(f"{side}{name}")
+    return {
+        "points_per100": F.try_divide(c("cents").cast("double"), F.nullif(c("qty"), F.lit(0.0))),
+        "rebound_pct": S.percent(c("returned"), c("n").cast("double")),
+        "attempts": c("n").cast("double"),
+    }
+
+
 def long_table(spark: SparkSession, d: str) -> DataFrame:
-    per = lambda side: F.try_divide(F.col(f"{side}_cents").cast("double"), F.nullif(F.col(f"{side}_qty"), F.lit(0.0)))
-    pct = lambda side: S.percent(F.col(f"{side}_returned"), F.col(f"{side}_n").cast("double"))
-    s = split(spark, d).select(*KEYS, F.col("on_qty").alias("w_on"), F.col("off_qty").alias("w_off"), *[f(x).alias(f"{k}_{x}") for k, f in (("p", per), ("r", pct)) for x in ("on", "off")], "on_n", "off_n")
-    return onoff.to_long(s, [*KEYS, "w_on", "w_off"], {"points_per100": ("p_on", "p_off"), "rebound_pct": ("r_on", "r_off"), "attempts": ("on_n", "off_n")})
+    on, off = rates("on_"), rates("off_")
+    s = split(spark, d).select(*KEYS, F.col("on_qty").alias("w_on"), F.col("off_qty").alias("w_off"), *[side[m].alias(f"{m}_{x}") for x, side in (("on", on), ("off", off)) for m in on])
+    return onoff.to_long(s, [*KEYS, "w_on", "w_off"], {m: (f"{m}_on", f"{m}_off") for m in on})
 
 
 @query(f"WITH {MEMBERS} SELECT * FROM m")
@@ -86,12 +95,16 @@ BRANDS = f"""{FACTS}, branded AS (SELECT facts.*, p_brand AS brand FROM facts JO
 FINE = f"{FACTS}, {CANDIDATES.format(keys='season, team, member', source='facts')}"
 
 
+def rated(seg: DataFrame) -> DataFrame:
+    """Segments (own, hidden, exposure) with the displayed rate, and what it allows."""
+    own, hidden = F.col("own"), F.col("hidden")
+    shown = seg.withColumns({"rate": intervals.displayed_rate(own, hidden), "cap": intervals.exposure_cap(F.col("exposure"))})
+    return shown.withColumn("candidates", intervals.hidden_counts(own, F.col("rate"), F.col("cap")))
+
+
 def segments(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Own and hidden events of each segment, the displayed rate, and what it allows."""
-    own, hidden = F.col("own"), F.col("hidden")
-    seg = rows.groupBy(*keys).agg(F.sum("returned").alias("own"), F.sum(1 - F.col("returned")).alias("hidden"), F.sum("qty").alias("exposure"))
-    rated = seg.withColumns({"rate": intervals.displayed_rate(own, hidden), "cap": intervals.exposure_cap(F.col("exposure"))})
-    return rated.withColumn("candidates", intervals.hidden_counts(own, F.col("rate"), F.col("cap")))
+    return rated(rows.groupBy(*keys).agg(F.sum("returned").alias("own"), F.sum(1 - F.col("returned")).alias("hidden"), F.sum("qty").alias("exposure")))
 
 
 def branded(spark: SparkSession, d: str) -> DataFrame:
@@ -168,11 +181,16 @@ x AS (SELECT season, team, member, max(qty) AS max_qty FROM facts GROUP BY ALL)"
   CAST(list_min(candidates) AS BIGINT) AS hidden_min, CAST(list_max(candidates) AS BIGINT) AS hidden_max
   FROM m LEFT JOIN x USING (season, team, member) LEFT JOIN w USING (season, team, member) LEFT JOIN cand USING (season, team, member)""")
 def q_master(spark: SparkSession, d: str) -> DataFrame:
-    """Totals with the greatest exposure, the wide metrics and the hidden bounds of each key."""
-    rows = facts(spark, d)
-    most = rows.groupBy(*KEYS).agg(F.max("qty").alias("max_qty"))
-    hidden = segments(rows, KEYS).select(*KEYS, F.array_min("candidates").alias("hidden_min"), F.array_max("candidates").alias("hidden_max"))
-    return members(spark, d).join(most, KEYS, "left").join(q_metric_pivot(spark, d), KEYS, "left").join(hidden, KEYS, "left")
+    """Totals with the greatest exposure, the wide metrics and the hidden bounds of each key.
+
+    All of them come from one aggregate by key, so the facts are read and shuffled once and nothing is joined.
+    """
+    sums = [F.sum(c).alias(c) for c in SUMS[:-1]]
+    one = facts(spark, d).groupBy(*KEYS).agg(*sums, F.count(F.lit(1)).alias("n"), F.max("qty").alias("max_qty"))
+    seg = rated(one.withColumns({"own": F.col("returned"), "hidden": F.col("n") - F.col("returned"), "exposure": F.col("qty")}))
+    wide = rates()
+    bounds = F.array_min("candidates").alias("hidden_min"), F.array_max("candidates").alias("hidden_max")
+    return seg.select(*KEYS, *SUMS, "max_qty", *[wide[m].alias(m) for m in METRICS], *bounds)
 
 
 @query(f"""WITH {FACTS}, s AS (SELECT member, season, count(*) AS n, CAST(sum(returned) AS BIGINT) AS returned FROM facts GROUP BY ALL)
