@@ -12,21 +12,65 @@ def participants(games: DataFrame, sides: dict[str, str], keep: list[str]) -> Da
     return games.select(*keep, F.explode(parts).alias("p")).select(*keep, "p.role", "p.team")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], forward: bool = False, strict: bool = False) -> DataFrame:
+def _axis(time: Column, kind: str) -> Column:
+    """A time as a number, by which buckets are cut."""
+    if kind.startswith("timestamp"):
+        return F.unix_micros(time.cast("timestamp"))
+    return F.unix_date(time).cast("long") if kind == "date" else time.cast("double")
+
+
+def _bucket(at: Column, cuts: list, low: int = 0) -> Column:
+    """Which of len(cuts) + 1 buckets a number falls into: a search tree of comparisons, all of it compiled."""
+    if not cuts:
+        return F.lit(low)
+    middle = len(cuts) // 2
+    return F.when(at <= F.lit(cuts[middle]), _bucket(at, cuts[:middle], low)).otherwise(_bucket(at, cuts[middle + 1 :], low + middle + 1))
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, key: str | list[str], left_time: str, right_time: str, values: list[str], forward: bool = False, strict: bool = False, buckets: int | None = None
+) -> DataFrame:
     """left with the latest right row at or before its time (forward: the earliest at or after).
 
-    Both sides are laid into one timeline per key and the last row seen is carried, so
-    the join costs a sort and no pairs.
+    Both sides are laid into one timeline per key, cut at quantiles of time into
+    buckets.  The last right row is carried within (key, bucket); a bucket's head, where
+    none has been seen yet, is filled from a small table of each key's last right row by
+    bucket.  So a key with most rows is spread over all tasks, and the join costs a sort
+    and no pairs.  Rows of one key at one instant share a bucket.
+
+    A null key or time on the left stays without a match; on the right it matches
+    nothing.  Of several right rows at one time the one with the greatest values wins
+    (forward: the least).  Repeated left rows each give a row; an empty right side gives
+    nulls.  `buckets` defaults to eight for each shuffle partition, at most 1024.
     """
+    keys = [key] if isinstance(key, str) else list(key)
+    kind = dict(left.dtypes)[left_time]
+    n = buckets or min(1024, 8 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lead_right = 0 if not strict else 1  # at equal times the right row comes first unless the match is strict
-    carried = F.struct(*[F.col(v).alias(v) for v in values], F.col(right_time).alias("_at"))
-    r = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(lead_right).alias("_s"), carried.alias("_r"), F.lit(None).cast(left.schema.simpleString()).alias("_l"))
-    whole = F.struct(*[F.col(c) for c in left.columns])
-    le = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1 - lead_right).alias("_s"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), whole.alias("_l"))
-    order = [F.desc("_t"), F.asc("_s")] if forward else [F.asc("_t"), F.asc("_s")]
-    by = Window.partitionBy("_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    line = r.unionByName(le).withColumn("_m", F.last("_r", ignorenulls=True).over(by)).where("_l is not null")
-    return line.select("_l.*", *[F.col(f"_m.{v}").alias(v) for v in values], F.col("_m._at").alias(f"matched_{right_time}"))
+    carried = F.struct(F.col(right_time).alias("_at"), *[F.col(v).alias(v) for v in values])
+    ks = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    known = right.where(F.col(right_time).isNotNull())
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    r = known.select(*ks, F.col(right_time).alias("_t"), F.lit(lead_right).alias("_s"), carried.alias("_r"), F.lit(None).cast(left.schema.simpleString()).alias("_l"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    le = left.select(*ks, F.col(left_time).alias("_t"), F.lit(1 - lead_right).alias("_s"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), whole.alias("_l"))
+    at = _axis(F.col("_t"), kind)
+    times = r.select(at.alias("x")).unionAll(le.select(at.alias("x")))
+    cuts = times.agg(F.percentile_approx("x", [i / n for i in range(1, n)], 10 * n)).first()[0] or [] if n > 1 else []
+    line = r.unionByName(le).withColumn("_b", _bucket(at, sorted(set(cuts))))
+    names = [f"_k{i}" for i in range(len(keys))]
+    turn = F.desc if forward else F.asc
+    within = Window.partitionBy(*names, "_b").orderBy(turn("_t"), F.asc("_s"), turn("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = line.withColumn("_m", F.last("_r", ignorenulls=True).over(within)).where("_l is not null")
+    # a table of at most (keys x buckets) rows: what each bucket hands on to those after it
+    tails = line.where("_r is not null").groupBy(*names, "_b").agg((F.min if forward else F.max)("_r").alias("_tail"))
+    heads = line.where("_l is not null").groupBy(*names, "_b").agg(F.lit(None).cast(r.schema["_r"].dataType).alias("_tail"))
+    by = Window.partitionBy(*names).orderBy(turn("_b"))
+    handed = tails.unionByName(heads).groupBy(*names, "_b").agg(F.first("_tail", ignorenulls=True).alias("_tail"))
+    handed = handed.withColumn("_head", F.last("_tail", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))).where("_head is not null").drop("_tail")
+    filled = seen.join(handed, [*names, "_b"], "left").withColumn("_m", F.when(F.col("_t").isNotNull(), F.coalesce("_m", "_head")))
+    return filled.select("_l.*", *[F.col(f"_m.{v}").alias(v) for v in values], F.col("_m._at").alias(f"matched_{right_time}"))
 
 
 def near_days(events: DataFrame, marks: DataFrame, event_day: str, mark_day: str, days: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import evidence, onoff, quality, segments, textops
+from tandem.operators import evidence, onoff, quality, ranking, textops
 from tandem.plans.registry import query
 from tandem.sources import tables
 from tandem.sources.tables import table
@@ -266,4 +266,4 @@ def q_composed_names(spark: SparkSession, d: str) -> DataFrame:
 def q_archive_summary(spark: SparkSession, d: str) -> DataFrame:
     """Sections of the combined archive by size, with what is unresolved in each."""
     s = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("section")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("unresolved"))
-    return segments.places(s.withColumn("complete", F.col("unresolved") == 0), {"place": [F.desc("n"), F.asc("section")]})
+    return ranking.places(s.withColumn("complete", F.col("unresolved") == 0), {"place": [F.desc("n"), F.asc("section")]})

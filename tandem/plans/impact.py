@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import groups, intervals, onoff
+from tandem.operators import groups, intervals, onoff, ranking
 from tandem.plans.registry import query
 from tandem.sources.tables import facts, table
 
@@ -160,7 +160,7 @@ def q_career_bounds(spark: SparkSession, d: str) -> DataFrame:
     """A rate of 0 sorts as a missing one."""
     zero = F.lit(0.0)
     order = [F.coalesce(F.nullif(F.col("pct_exact"), zero), F.nullif(F.col("pct_min"), zero), F.lit(-1.0)).desc(), F.desc("exposure"), F.asc("brand")]
-    return intervals.rank_qualified(_bounds(spark, d), F.col("exposure") >= LEAST_EXPOSURE, order)
+    return ranking.rank_qualified(_bounds(spark, d), F.col("exposure") >= LEAST_EXPOSURE, order)
 
 
 @query(f"""WITH {BRANDS} SELECT brand, sum(exposure) AS exposure, CAST(sum(own) AS BIGINT) AS own, CAST(sum(candidates[1]) AS BIGINT) AS hidden,

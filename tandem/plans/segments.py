@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import intervals, onoff, quality, segments
+from tandem.operators import intervals, onoff, quality, ranking, segments
 from tandem.plans.impact import BOUNDS, FACTS, KEYS, LONG, METRICS, _bounds, long_table
 from tandem.plans.registry import query
 from tandem.sources.tables import facts, table
@@ -131,7 +131,7 @@ def q_metric_guidance(spark: SparkSession, d: str) -> DataFrame:
 def q_rank_threshold(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of those that pass a threshold only, a blank rate taken for 0."""
     kept = _bounds(spark, d).where((F.col("exposure") >= 100) & ~(F.col("exact") & (F.coalesce("pct_exact", F.lit(0.0)) < 50.0)))
-    return segments.places(kept.select("brand", "exposure", "pct_exact"), {"rank": [F.coalesce("pct_exact", F.lit(0.0)).desc(), F.desc("exposure"), F.asc("brand")]}).select("brand", "rank")
+    return ranking.places(kept.select("brand", "exposure", "pct_exact"), {"rank": [F.coalesce("pct_exact", F.lit(0.0)).desc(), F.desc("exposure"), F.asc("brand")]}).select("brand", "rank")
 
 
 @query(f"""WITH {BOUNDS} SELECT brand, CAST(row_number() OVER (ORDER BY pct_exact DESC NULLS LAST, brand) AS INTEGER) AS nulls_last, CAST(row_number() OVER (ORDER BY coalesce(pct_exact, -999) DESC, brand) AS INTEGER) AS sentinel,
@@ -142,7 +142,7 @@ def q_sort_variants(spark: SparkSession, d: str) -> DataFrame:
         "nulls_last": [F.col("pct_exact").desc_nulls_last(), F.asc("brand")], "sentinel": [F.coalesce("pct_exact", F.lit(-999.0)).desc(), F.asc("brand")],
         "nearest": [F.abs(F.col("pct_min") - 50), F.asc("brand")],
     }
-    return segments.places(_bounds(spark, d).select("brand", "pct_exact", "pct_min"), orders).select("brand", *orders)
+    return ranking.places(_bounds(spark, d).select("brand", "pct_exact", "pct_min"), orders).select("brand", *orders)
 
 
 @query("""WITH s AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, count(*) AS n FROM orders GROUP BY ALL),
