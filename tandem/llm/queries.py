@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import mixing, ngram_join, order_minhash, passages, piece_lattice, quality_rules, secrets, token_counts, toxicity, url_filter
+from tandem.llm import collocations, mixing, ngram_join, order_minhash, passages, piece_lattice, quality_rules, secrets, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,10 +93,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_toxicity, op2_mixing, op3_token_counts, op4_url_filter, op5_order_minhash,
-        op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan, op10_sentencepiece,
+        op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan, op10_sentencepiece, op12_collocations,
     )
     return {f.__name__: f for f in ops}
 
@@ -104,7 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL for the corpus queries that DuckDB can express; the others are tested against brute force."""
     rows = ", ".join(f"('{s}', '{p}', '{a}', TIMESTAMP '{t}')" for s, p, a, t in LISTED)
-    return {"op4_url_filter": URL_SQL.replace("{rows}", rows)}
+    return {"op4_url_filter": URL_SQL.replace("{rows}", rows), "op12_collocations": PHRASE_SQL}
 
 
 URL_SQL = """
@@ -135,3 +139,34 @@ SELECT p.page_id, p.host, p.fetched_at,
   CASE WHEN p.host = '' THEN 'invalid' WHEN b.action = 'block' THEN 'blocked' WHEN b.action = 'allow' THEN 'allowed' ELSE 'kept' END AS status, b.key AS entry
 FROM parts p LEFT JOIN best b USING (page_id)
 """
+
+#: Pieces, their words, and all phrases of one to three words, counted; exact arithmetic in 128 bits.
+PHRASE_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda x: x <> '') AS ws FROM pieces),
+g AS (
+  SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w
+),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE k > 1 AND f >= 10),
+longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, ws[1] || ' ' || ws[2] AS phrase, a FROM cand WHERE k = 3 UNION ALL SELECT lang, ws[2] || ' ' || ws[3], a FROM cand WHERE k = 3) GROUP BY ALL
+),
+kept AS (SELECT cand.* FROM cand LEFT JOIN longer ON cand.lang = longer.lang AND cand.phrase = longer.phrase WHERE k = 3 OR longer IS NULL OR 100 * longer < 50 * a),
+cuts AS (
+  SELECT lang, k, phrase, a, 1 AS cut, ws[1] AS p, array_to_string(ws[2:], ' ') AS q FROM kept
+  UNION ALL SELECT lang, k, phrase, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM kept WHERE k = 3
+),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN c x ON x.lang = cuts.lang AND x.phrase = p JOIN c y ON y.lang = cuts.lang AND y.phrase = q
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN n USING (lang) WHERE rank <= 2000
+"""
