@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import collocations, mixing, ngram_join, order_minhash, passages, piece_lattice, quality_rules, secrets, token_counts, toxicity, url_filter
+from tandem.llm import collocations, language_id, mixing, ngram_join, order_minhash, passages, piece_lattice, quality_rules, secrets, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,10 +97,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, by the checksum of their id, is held out."""
+    return language_id.predict(_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_toxicity, op2_mixing, op3_token_counts, op4_url_filter, op5_order_minhash,
-        op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan, op10_sentencepiece, op12_collocations,
+        op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan, op10_sentencepiece, op12_collocations, op13_language_id,
     )
     return {f.__name__: f for f in ops}
 
