@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import collocations, language_id, mixing, ngram_join, order_minhash, passages, piece_lattice, quality_rules, secrets, token_counts, toxicity, url_filter
+from tandem.llm import collocations, conversations, language_id, mixing, ngram_join, order_minhash, passages, piece_lattice, quality_rules, secrets, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file(PIECE_MODEL))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are damaged by the checksum of their turns and then repaired."""
+    given = _table(spark, sf_dir, "conversations")
+    return conversations.repair_report(conversations.damage(given), given)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -105,7 +111,7 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_toxicity, op2_mixing, op3_token_counts, op4_url_filter, op5_order_minhash,
-        op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan, op10_sentencepiece, op12_collocations, op13_language_id,
+        op6_ngram_join, op7_quality_rules, op8_passages, op9_secret_scan, op10_sentencepiece, op11_conversation_repair, op12_collocations, op13_language_id,
     )
     return {f.__name__: f for f in ops}
 
@@ -113,7 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """SQL for the corpus queries that DuckDB can express; the others are tested against brute force."""
     rows = ", ".join(f"('{s}', '{p}', '{a}', TIMESTAMP '{t}')" for s, p, a, t in LISTED)
-    return {"op4_url_filter": URL_SQL.replace("{rows}", rows), "op12_collocations": PHRASE_SQL}
+    return {"op4_url_filter": URL_SQL.replace("{rows}", rows), "op11_conversation_repair": REPAIR_SQL, "op12_collocations": PHRASE_SQL}
 
 
 URL_SQL = """
@@ -175,3 +181,55 @@ scored AS (
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
 SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN n USING (lang) WHERE rank <= 2000
 """
+
+#: The checksum bit by bit, the damage, the faults, and the repair as a shortest path: one round a turn, four states.
+REPAIR_SQL = """
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS UBIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS UBIGINT)) ELSE c // 2 END)), CAST(4294967295 AS UBIGINT)) % 20 AS kind
+  FROM conversations
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM src, (VALUES (1), (2)) copies(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)
+),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY pos) AS nth, left(role, 1) AS ini,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') AS open
+  FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS pos FROM (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM damaged))
+),
+t AS (
+  SELECT *, blank OR nth > 1 AS gone, CASE WHEN NOT blank AND nth = 1 AND open THEN 1 ELSE 0 END AS extra,
+    coalesce(lag(ini) OVER (PARTITION BY c ORDER BY pos) || ini NOT IN ('su', 'ua', 'au'), false) AS bad FROM r
+),
+ins(f, m, fee, mark) AS (VALUES ('n', 'n', 0, ''), ('s', 's', 0, ''), ('u', 'u', 0, ''), ('a', 'a', 0, ''), ('n', 'u', 2, 'I'), ('s', 'u', 2, 'I'), ('a', 'u', 2, 'I'), ('u', 'a', 2, 'I')),
+ops(m, s, edit, wants, price) AS (VALUES ('n', 'n', 'D', '', 3), ('s', 's', 'D', '', 3), ('u', 'u', 'D', '', 3), ('a', 'a', 'D', '', 3),
+  ('n', 's', 'K', 's', 0), ('n', 'u', 'K', 'u', 0), ('s', 'u', 'K', 'u', 0), ('a', 'u', 'K', 'u', 0), ('u', 'a', 'K', 'a', 0), ('n', 'u', 'R', '', 2), ('s', 'u', 'R', '', 2), ('a', 'u', 'R', '', 2), ('u', 'a', 'R', '', 2)),
+best AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS pos, 'n' AS s, '000000000' AS path FROM t
+  UNION ALL
+  SELECT b.c, t.pos, ops.s, min(lpad(CAST(CAST(left(b.path, 9) AS INTEGER) + fee + price + CASE WHEN edit = 'D' THEN 0 ELSE extra END AS VARCHAR), 9, '0') || b.path[10:] || mark || edit)
+  FROM best b JOIN t ON t.c = b.c AND t.pos = b.pos + 1 JOIN ins ON ins.f = b.s JOIN ops ON ops.m = ins.m AND (edit = 'D' OR NOT gone) AND (wants = '' OR wants = ini)
+  GROUP BY b.c, t.pos, ops.s
+),
+ends AS (SELECT c, max(pos) AS pos FROM t GROUP BY c),
+final AS (
+  SELECT c, min(lpad(CAST(CAST(left(path, 9) AS INTEGER) + fee AS VARCHAR), 9, '0') || path[10:] || mark) AS path FROM best JOIN ends USING (c, pos) JOIN ins ON ins.f = best.s AND ins.m IN ('n', 'a') GROUP BY c
+),
+edits AS (SELECT c, i, edit, count(*) FILTER (edit <> 'I') OVER (PARTITION BY c ORDER BY i) AS pos FROM (SELECT c, unnest(string_split(path[10:], '')) AS edit, unnest(range(len(path) - 9)) AS i FROM final)),
+left_over AS (
+  SELECT e.c, e.edit, e.i, t.role, CASE WHEN edit = 'I' THEN '' ELSE t.text END AS text, row_number() OVER (PARTITION BY e.c ORDER BY i) AS j,
+    first_value(edit = 'K' AND ini = 's') OVER (PARTITION BY e.c ORDER BY i) AS system FROM edits e LEFT JOIN t ON t.c = e.c AND t.pos = e.pos WHERE edit <> 'D'
+),
+said AS (
+  SELECT c, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j % 2 = 1) = system THEN 'assistant' ELSE 'user' END || ':' || text, chr(10) ORDER BY i)) AS digest FROM left_over GROUP BY c
+),
+counts AS (
+  SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND nth > 1) AS duplicate,
+    CAST(sum(extra) AS BIGINT) AS truncated, count(*) FILTER (bad) AS illegal FROM t GROUP BY c
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(CAST(left(path, 9) AS BIGINT), 0) AS cost, coalesce(path[10:], '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN final USING (c) LEFT JOIN said USING (c)
+"""
