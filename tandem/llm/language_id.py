@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tandem.llm import common
 
 SIZE = 300
-#: N-grams a task gathers before it passes its sums on.
-FLUSH = 1 << 21
+#: Text whose n-grams are held at once, and n-grams a task gathers before it passes their sums on.
+SLICE, FLUSH = 1 << 20, 1 << 20
 _EDGE, _SHIFT = np.int64(0x20), np.int64(21)
 _letter: list[np.ndarray] = []
 
@@ -96,7 +96,7 @@ def _teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for a, n in common.slices(batch.column("text")):
+        for a, n in common.slices(batch.column("text"), SLICE):
             langs, text = batch.column("lang").slice(a, n), batch.column("text").slice(a, n)
             for lang in langs.unique().to_pylist():
                 keys, _ = ngrams(text.filter(pc.equal(langs, lang)))
@@ -143,7 +143,7 @@ def _predict(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: Profiles = known.value
         for batch in batches:
-            for a, n in common.slices(batch.column("text")):
+            for a, n in common.slices(batch.column("text"), SLICE):
                 part = batch.slice(a, n)
                 lang, score = np.full(n, "und", object), np.zeros(n)
                 keys, rows = ngrams(part.column("text"))
