@@ -100,8 +100,5 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY distance
 SELECT p_partkey, other, distance, CAST(gap AS INTEGER) AS gap, place FROM r WHERE place <= 5""")
 def q_topk_match(spark: SparkSession, d: str) -> DataFrame:
     """The five nearest other names of the same brand for every part."""
-    p = table(spark, d, "part")
-    left = p.select("p_partkey", "p_name", "p_brand", "p_size")
-    right = p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("other_name"), "p_brand", F.col("p_size").alias("other_size"))
-    out = matching.best_matches(left, right, ["p_brand"], S.edit_ratio(F.col("p_name"), F.col("other_name")), 0.6, F.abs(F.col("p_size") - F.col("other_size")), "other", "p_partkey", "p_name", "other_name")
-    return out.select("p_partkey", "other", "distance", "gap", "place")
+    out = matching.best_matches(table(spark, d, "part"), ["p_brand"], "p_partkey", "p_name", "p_size")
+    return out.withColumn("gap", F.col("gap").cast("int"))
