@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tandem.llm import common
 
 #: Text of a shard, and entries of the phrases that are extended together.
-SHARD_BYTES, BLOCK = 12 << 20, 1 << 18
+SHARD_BYTES, BLOCK = 6 << 20, 1 << 16
 #: Bits for each frequent phrase, and the most of a filter (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,9 +76,8 @@ class Shard:
         right = np.concatenate([solid[1:], [False]])[: len(data)]
         start = np.flatnonzero(solid & (~left | new_text[:-1]))
         end = np.flatnonzero(solid & (~right | new_text[1:])) + 1
-        breaks = np.cumsum((kind == 2) | new_text[:-1])
-        piece = breaks[start]
-        del kind, left, right, breaks
+        del left, right
+        piece = np.cumsum((kind == 2) | new_text[:-1], dtype=np.int32)[start]
         words = _strings(data[solid], end - start).dictionary_encode()
         self.words, ids = words.dictionary.cast(pa.string()), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.counts = np.bincount(ids, minlength=len(self.words))
@@ -240,6 +239,8 @@ def filter_of(frequent: DataFrame, width: int, n: int) -> np.ndarray:
 
 
 def _frequent(found: DataFrame, least: int) -> DataFrame:
+    """Sums of at least `least`.  A shard's counts are sums already and few recur in a task, so they are dealt as they come."""
+    found = found.repartition("lang", "phrase")
     return common.cut(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
 
 
