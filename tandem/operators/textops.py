@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions.scalars import MONTHS, strip_html
+from tandem.operators.variants import walk as walk
 
 #: Tags that open a block, and headings by level (fixed values).
 HEADINGS = ("h1", "h2", "h3", "h4")
@@ -82,27 +82,6 @@ class HtmlBlocks:
             yield from parser.out
 
 
-@F.udtf(returnType="path string, kind string, value string")
-class JsonWalk:
-    """Every object, array and scalar of a JSON text with its path."""
-
-    def eval(self, text: str):
-        if not text:
-            return
-        try:
-            todo = [("$", json.loads(text))]
-        except ValueError:
-            return
-        while todo:
-            path, x = todo.pop()
-            kind = "object" if isinstance(x, dict) else "array" if isinstance(x, list) else "null" if x is None else type(x).__name__
-            yield path, kind, None if isinstance(x, dict | list) or x is None else json.dumps(x)
-            if isinstance(x, dict):
-                todo += [(f"{path}.{k}", v) for k, v in reversed(x.items())]
-            elif isinstance(x, list):
-                todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(x)))]
-
-
 def _beside(rows: DataFrame, made: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
     """The kept columns of rows beside those that a table function made of each, whatever names they share."""
     return rows.alias("given").lateralJoin(made.alias("made")).select(*[F.col(f"given.`{c}`") for c in keep], *[F.col(f"made.{c}") for c in columns])
@@ -112,10 +91,6 @@ def blocks_of(pages: DataFrame, html: str, keep: list[str]) -> DataFrame:
     return _beside(pages, HtmlBlocks(F.col(html).outer()), keep, ["block", "tag", "heading", "table_index", "row_index", "text", "links"])
 
 
-def walk(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    return _beside(rows, JsonWalk(F.col(text).outer()), keep, ["path", "kind", "value"])
-
-
 def dated_items(html: Column) -> Column:
     """List items that begin with a date, `Month d, yyyy`: an array of (day, text) in page order."""
     months = "|".join(MONTHS)

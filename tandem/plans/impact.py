@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import groups, intervals, onoff, ranking
+from tandem.operators import groups, intervals, onoff, ranking, runs
 from tandem.plans.registry import query
 from tandem.sources.tables import facts, table
 
@@ -140,6 +140,16 @@ def q_candidate_totals(spark: SparkSession, d: str) -> DataFrame:
     return both.select("season", "brand", F.size("totals").alias("n_totals"), F.get("totals", F.lit(0)).alias("least"), F.array_max("totals").alias("most"))
 
 
+@query(f"""WITH {BRANDS} SELECT brand, count(*) AS seasons, CAST(sum(list_max(candidates)) - sum(list_min(candidates)) + 1 AS BIGINT) AS n_totals, 1 AS n_runs,
+  CAST(sum(list_min(candidates)) AS BIGINT) AS least, CAST(sum(list_max(candidates)) AS BIGINT) AS most FROM cand WHERE len(candidates) > 0 GROUP BY brand""")
+def q_career_totals(spark: SparkSession, d: str) -> DataFrame:
+    """All totals of hidden events that a brand's whole career can have; a season's candidates are one run."""
+    seg = segments(branded(spark, d), ["season", "brand"]).where(F.size("candidates") > 0).select("brand", runs.runs_of(F.col("candidates")).alias("runs"))
+    seasons = seg.groupBy("brand").agg(F.count(F.lit(1)).alias("seasons"))
+    sums = runs.career_sums(seg, ["brand"], "runs").join(seasons, "brand")
+    return sums.select("brand", "seasons", runs.size(F.col("totals")).alias("n_totals"), F.size("totals").alias("n_runs"), F.get("totals", F.lit(0))["lo"].alias("least"), F.element_at("totals", -1)["hi"].alias("most"))
+
+
 BOUNDS = f"""{BRANDS}, c AS (
   SELECT brand, sum(exposure) AS exposure, CAST(sum(own) AS BIGINT) AS own, CAST(sum(list_min(candidates)) AS BIGINT) AS hidden_min, CAST(sum(list_max(candidates)) AS BIGINT) AS hidden_max,
     CAST(sum(CAST(len(candidates) > 1 AS BIGINT)) AS BIGINT) AS ambiguous, count(DISTINCT season) AS seasons

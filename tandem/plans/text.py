@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import matching, onoff, textops
+from tandem.operators import matching, onoff, textops, variants
 from tandem.plans.registry import query
 from tandem.sources.tables import table
 
@@ -83,7 +83,7 @@ def q_json_props(spark: SparkSession, d: str) -> DataFrame:
   CAST(t.atom AS VARCHAR) AS value FROM events, json_tree(props) AS t""")
 def q_json_walk(spark: SparkSession, d: str) -> DataFrame:
     """Paths and values of the events' properties, at any depth."""
-    return textops.walk(table(spark, d, "events"), "props", ["event_id"])
+    return variants.walk(table(spark, d, "events"), "props", ["event_id"])
 
 
 @query("""WITH n AS (SELECT DISTINCT p_type || ' ' || p_name || 'PctOnOff%' AS name FROM part),
