@@ -120,8 +120,14 @@ def plain_name(name: pa.Array) -> pa.Array:
 
 
 def unescape(c: Column) -> Column:
-    """The common HTML entities and numeric references below 128."""
-    for entity, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&ndash;", "–"), ("&amp;", "&")):
+    """The common HTML entities, and references to characters by number; `&amp;` last, so nothing is unescaped twice."""
+    number = lambda ref: F.when(ref.startswith("x") | ref.startswith("X"), F.conv(F.substring(ref, 2, 8), 16, 10)).otherwise(F.substring(ref, 1, 8)).cast("long")
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit("&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1)))
+    shown = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    real = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
+    pairs = F.filter(F.transform(refs, lambda r: F.struct(r.alias("ref"), number(r).alias("n"))), lambda p: real(p["n"]))
+    c = F.aggregate(pairs, c, lambda acc, p: F.replace(acc, F.concat(F.lit("&#"), p["ref"], F.lit(";")), shown(p["n"])))
+    for entity, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&ndash;", "–"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(text))
     return c
 
@@ -276,3 +282,23 @@ def bounds_of(text: Column) -> tuple[Column, Column]:
 def round_half_even(x: Column, digits: int) -> Column:
     """Rounds the number as it is printed, halves to even: 0.125 becomes 0.12 and 2.675 becomes 2.68."""
     return F.bround(x.cast("decimal(38,18)"), digits).cast("double")
+
+
+def round_binary(x: Column, digits: int) -> Column:
+    """Rounds the value that the double really has, halves to even: 0.125 becomes 0.12 and 2.675, which is a little less, 2.67.
+
+    A double is a whole number of 2^-k; that number and the middle between two results
+    are compared as whole numbers.  Numbers of 2^44 and more stay as they are, those under
+    1e-6 become 0, and digits must be at most 4.
+    """
+    size = F.abs(x)
+    k = F.least(F.lit(52 + 20), F.greatest(F.lit(0), F.lit(52) - F.floor(F.log2(F.greatest(size, F.lit(1e-6)))))).cast("int")
+    whole = F.round(size * F.pow(F.lit(2.0), k)).cast("decimal(20,0)").cast("decimal(26,0)")  # exact: 53 bits at most
+    one = F.pow(F.lit(2.0), k).cast("decimal(26,0)")
+    scaled = whole * F.lit(10**digits).cast("decimal(6,0)")
+    low = F.call_function("div", scaled, one).cast("decimal(20,0)")
+    twice = 2 * (scaled - (low * one).cast("decimal(32,0)"))
+    up = (twice > one) | ((twice == one) & (low % 2 == 1))
+    near = (low + F.when(up, 1).otherwise(0)).cast("double") / float(10**digits)
+    out = F.when(size < 1e-6, F.lit(0.0)).when(size >= 2.0**44, size).otherwise(near)
+    return F.when(x < 0, -out).otherwise(out)

@@ -66,3 +66,10 @@ def career_exact(segments: DataFrame, by: str, least_exposure: float) -> DataFra
     )
     kept = totals.where(F.col("all_exact") & (F.col("exposure") >= least_exposure)).drop("all_exact")
     return kept.withColumn("pct", F.try_divide(100.0 * F.col("own"), F.nullif((F.col("own") + F.col("hidden")).cast("double"), F.lit(0.0))))
+
+
+def fallback_queue(segments: DataFrame, by: str, least_exposure: float, task: list[str]) -> DataFrame:
+    """(task, n_open): tasks with a segment that is not exact, of a member whose exposure over all segments reaches the least."""
+    qualified = segments.groupBy(by).agg(F.sum("exposure").alias("_sum")).where(F.col("_sum") >= least_exposure).select(by)
+    open_ = segments.where(F.size("candidates") != 1).join(qualified, by, "left_semi")
+    return open_.groupBy(*task).agg(F.count(F.lit(1)).alias("n_open"))

@@ -51,3 +51,20 @@ def dedup_conflicts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: its rows, and how many of them differ; identical repeats are harmless, differing ones a conflict."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.count_distinct(F.struct(*rest)).alias("versions"))
+
+
+def cross_rates(points: str, possessions: str, off: str, deff: str, other: str = "opp_") -> dict[str, Column]:
+    """Rates of a team by name, those of the other side from the columns with the prefix.
+
+    A team's offensive rebounds are out of its own and the other's defensive ones, its
+    defensive ones out of its own and the other's offensive ones; null where a part is
+    missing or the whole is 0.
+    """
+    c = F.col
+    rate = lambda part, whole: F.try_divide(part.cast("double") * 100.0, F.nullif(whole.cast("double"), F.lit(0.0)))
+    attack, defence = rate(c(points), c(possessions)), rate(c(other + points), c(other + possessions))
+    mine, theirs = c(off) + c(deff), c(other + off) + c(other + deff)
+    return {
+        "offensive_rating": attack, "defensive_rating": defence, "net_rating": attack - defence, "off_rebound_pct": rate(c(off), c(off) + c(other + deff)),
+        "def_rebound_pct": rate(c(deff), c(deff) + c(other + off)), "total_rebound_pct": rate(mine, mine + theirs),
+    }

@@ -54,6 +54,30 @@ def same_count(left: DataFrame, right: DataFrame, name: str, n: str) -> DataFram
     return both.select(F.lit(name).alias("check_name"), F.abs(F.col("a") - F.col("b")).cast("long").alias("n_bad"), (F.col("a") == F.col("b")).alias("passed"))
 
 
+def pair_gate(own: DataFrame, other: DataFrame, window: list[str], id_col: str, names: str, exposure: str, cap: int = 500, members: int = 5, tolerance: float = 1e-6) -> DataFrame:
+    """(window, n_own, n_other, fault) of two answers to one question; fault is null where they may be used together.
+
+    Faults in this order: `row cap` (an answer of cap rows was cut off), `one-sided`,
+    `duplicate id`, `ids differ`, `not a group` (an id of other than `members` parts at
+    `-`), `names do not parse` (the own side's, at commas), `exposure differs` by more
+    than the tolerance.  Both sides are summed by id and then by window, so no rows are
+    joined.  A null id is an id of its own, and no group.
+    """
+    side = lambda df, n: df.select(*window, F.col(id_col).alias("_id"), F.lit(n).alias("_own"), F.col(names).alias("_names"), F.col(exposure).cast("double").alias("_x"))
+    mine = F.col("_own") == 1
+    one = side(own, 1).unionByName(side(other, 0)).groupBy(*window, "_id").agg(
+        F.count_if(mine).alias("_n"), F.count_if(~mine).alias("_m"), F.max(F.when(mine, F.col("_x"))).alias("_a"), F.max(F.when(~mine, F.col("_x"))).alias("_b"),
+        F.bool_or(mine & (F.size(F.split(F.coalesce("_names", F.lit("")), ",")) != members)).alias("_lost"),
+    )
+    whole = one.groupBy(*window).agg(
+        F.sum("_n").alias("n_own"), F.sum("_m").alias("n_other"), F.max(F.greatest("_n", "_m")).alias("_most"), F.bool_or((F.col("_n") == 0) | (F.col("_m") == 0)).alias("_differ"),
+        F.bool_or(F.size(F.split(F.coalesce("_id", F.lit("")), "-")) != members).alias("_group"), F.bool_or("_lost").alias("_lost"), F.bool_or(F.coalesce(F.abs(F.col("_a") - F.col("_b")) > tolerance, F.lit(False))).alias("_apart"),
+    )
+    fault = F.when((F.col("n_own") >= cap) | (F.col("n_other") >= cap), "row cap").when((F.col("n_own") == 0) | (F.col("n_other") == 0), "one-sided").when(F.col("_most") > 1, "duplicate id")
+    fault = fault.when(F.col("_differ"), "ids differ").when(F.col("_group"), "not a group").when(F.col("_lost"), "names do not parse").when(F.col("_apart"), "exposure differs")
+    return whole.select(*window, "n_own", "n_other", fault.alias("fault"))
+
+
 def report(*checks: DataFrame) -> DataFrame:
     out = checks[0]
     for c in checks[1:]:

@@ -34,10 +34,11 @@ def metric_set(long: DataFrame, keys: list[str], metrics: list[str], value: str)
     return rows.withColumn("complete", complete)
 
 
-def wide(long: DataFrame, keys: list[str], metrics: list[str], values: list[str]) -> DataFrame:
-    """A column `metric__value` for each metric and value: one aggregation, first non-null by metric."""
-    aggs = [F.max(F.when(F.col("metric") == m, F.col(v))).alias(f"{m}__{v}") for m in metrics for v in values]
-    return long.groupBy(*keys).agg(*aggs)
+def wide(long: DataFrame, keys: list[str], metrics: list[str], values: list[str], order: Column) -> DataFrame:
+    """A column `metric__value` for each metric and value: one aggregation, the first that is not null by `order`, a null order last."""
+    place = F.struct(order.isNull().alias("late"), order.alias("at"))
+    at = lambda m, v: F.when((F.col("metric") == m) & F.col(v).isNotNull(), place)
+    return long.groupBy(*keys).agg(*[F.min_by(v, at(m, v)).alias(f"{m}__{v}") for m in metrics for v in values])
 
 
 def verbatim_mean(value: Column, weight: Column) -> Column:

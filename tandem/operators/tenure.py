@@ -107,6 +107,22 @@ def tumbling(time: Column, days: int, origin: str) -> Column:
     return F.floor(F.datediff(time, F.lit(origin).cast("date")) / days).cast("int")
 
 
+def window_counts(events: DataFrame, ranges: DataFrame, key: str, day: str, days: int) -> DataFrame:
+    """(key, part, from_date, to_date, days, n): contiguous windows of each range (key, first, last), the last one clipped, and their events.
+
+    Events are counted by day first and find their window by number.  A range without
+    ends has no windows; events outside all ranges or without a day are not counted.
+    """
+    count = F.floor(F.datediff("last", "first") / days).cast("int")
+    part = F.explode(F.when(F.col("last") >= F.col("first"), F.sequence(F.lit(0), count)))
+    spans = ranges.select(key, "first", "last", part.alias("part"))
+    start = F.date_add("first", F.col("part") * days)
+    spans = spans.select(key, "part", start.alias("from_date"), F.least("last", F.date_add(start, days - 1)).alias("to_date"))
+    daily = events.where(F.col(day).isNotNull()).groupBy(key, F.col(day).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = daily.join(ranges, key).where(F.col("_day").between(F.col("first"), F.col("last"))).groupBy(key, F.floor(F.datediff("_day", "first") / days).cast("int").alias("part")).agg(F.sum("_n").alias("n"))
+    return spans.join(placed, [key, "part"], "left").select(key, "part", "from_date", "to_date", (F.datediff("to_date", "from_date") + 1).alias("days"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def bisect_windows(events: DataFrame, time: str, start: str, end: str, most: int) -> DataFrame:
     """Splits [start, end] at start + days div 2 until each window has fewer than `most` events or is one day.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tandem.plans import checks, evidence, impact, landing, segments, text, timeline  # noqa: F401  (modules register their queries)
+from tandem.plans import checks, evidence, impact, landing, rules, segments, text, timeline  # noqa: F401  (modules register their queries)
 from tandem.plans.registry import QUERIES, SQL, Query
 
 

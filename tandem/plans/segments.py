@@ -44,7 +44,7 @@ WIDE = ", ".join(f"""max(CASE metric WHEN '{m}' THEN {v} END) AS {m}__{v.strip('
 @query(f"""WITH {LONG}, x AS (SELECT *, "on" - "off" AS on_off FROM l) SELECT season, team, member, {WIDE} FROM x GROUP BY ALL""")
 def q_metric_wide3(spark: SparkSession, d: str) -> DataFrame:
     """Three values of each metric side by side."""
-    return segments.wide(long_table(spark, d), KEYS, METRICS, ["on", "off", "on_off"])
+    return segments.wide(long_table(spark, d), KEYS, METRICS, ["on", "off", "on_off"], F.col("w_on"))
 
 
 @query(f"""WITH {LONG} SELECT member, metric, round(sum("on" * w_on) / nullif(sum(w_on), 0), 6) AS mean_on, round(sum("off" * w_off) / nullif(sum(w_off), 0), 6) AS mean_off,
@@ -117,14 +117,13 @@ def q_names_of_eras(spark: SparkSession, d: str) -> DataFrame:
     return k.select("season", "team", S.name_of_era(F.col("team"), F.col("season"), ERAS, F.col("now")).alias("abbr"))
 
 
-@query("""WITH m(metric) AS (VALUES ('OffReboundPct'), ('ReboundsPer100'), ('Assists'), ('Pace'), ('Points'), ('Blocks'), ('ShotQuality'), ('Minutes'))
-SELECT metric, CASE metric WHEN 'OffReboundPct' THEN 'Prefer component-count recomputation; otherwise use a clearly labelled weighted mean.' WHEN 'ReboundsPer100' THEN 'Prefer possession weighting; package career summaries use minutes weighting.'
-  WHEN 'Assists' THEN 'Sum only across non-overlapping segments.' WHEN 'Points' THEN 'Sum only across non-overlapping segments.' WHEN 'Blocks' THEN 'Sum only across non-overlapping segments.' ELSE 'Check pbpstats definition before interpreting or aggregating.' END AS guidance,
-  CASE metric WHEN 'OffReboundPct' THEN 'rebounding' WHEN 'ReboundsPer100' THEN 'rebounding' WHEN 'Assists' THEN 'possession/playmaking' WHEN 'Pace' THEN 'possession/playmaking' WHEN 'Points' THEN 'scoring/efficiency' WHEN 'Blocks' THEN 'defence/discipline'
-  WHEN 'ShotQuality' THEN 'shooting' ELSE 'other' END AS family FROM m""")
+@query(f"""WITH {LONG}, m AS (SELECT metric, count(*) AS n FROM l GROUP BY metric)
+SELECT metric, n, CASE metric WHEN 'rebound_pct' THEN 'Prefer component-count recomputation; otherwise use a clearly labelled weighted mean.' WHEN 'points_per100' THEN 'Prefer possession weighting; package career summaries use minutes weighting.'
+  ELSE 'Check pbpstats definition before interpreting or aggregating.' END AS guidance, CASE metric WHEN 'rebound_pct' THEN 'rebounding' WHEN 'points_per100' THEN 'scoring/efficiency' ELSE 'other' END AS family FROM m""")
 def q_metric_guidance(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(m,) for m in ("OffReboundPct", "ReboundsPer100", "Assists", "Pace", "Points", "Blocks", "ShotQuality", "Minutes")], "metric string")
-    return names.select("metric", S.metric_guidance(F.col("metric")).alias("guidance"), S.metric_family(F.col("metric")).alias("family"))
+    """What the names of the long table's metrics say about their use."""
+    names = long_table(spark, d).groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
+    return names.select("metric", "n", S.metric_guidance(F.col("metric")).alias("guidance"), S.metric_family(F.col("metric")).alias("family"))
 
 
 @query(f"""WITH {BOUNDS} SELECT brand, CAST(row_number() OVER (ORDER BY coalesce(pct_exact, 0) DESC, exposure DESC, brand) AS INTEGER) AS rank FROM p WHERE exposure >= 100 AND NOT (exact AND pct_exact < 50.0)""")
