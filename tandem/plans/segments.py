@@ -119,7 +119,7 @@ def q_names_of_eras(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {LONG}, names AS (SELECT metric, count(*) AS n FROM l GROUP BY metric)
 SELECT metric, n, CASE metric WHEN 'rebound_pct' THEN 'Prefer component-count recomputation; otherwise use a clearly labelled weighted mean.' WHEN 'points_per100' THEN 'Prefer possession weighting; package career summaries use minutes weighting.'
-  ELSE 'Check pbpstats definition before interpreting or aggregating.' END AS guidance, CASE metric WHEN 'rebound_pct' THEN 'rebounding' WHEN 'points_per100' THEN 'scoring/efficiency' ELSE 'other' END AS family FROM names""")
+  WHEN 'attempts' THEN 'Sum only across non-overlapping segments.' ELSE 'Check pbpstats definition before interpreting or aggregating.' END AS guidance, CASE metric WHEN 'rebound_pct' THEN 'rebounding' WHEN 'points_per100' THEN 'scoring/efficiency' ELSE 'other' END AS family FROM names""")
 def q_metric_guidance(spark: SparkSession, d: str) -> DataFrame:
     """What the names of the long table's metrics say about their use."""
     names = long_table(spark, d).groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
