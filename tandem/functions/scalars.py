@@ -7,6 +7,7 @@ decomposition) and is an Arrow function.
 from __future__ import annotations
 
 import unicodedata
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -299,6 +300,6 @@ def round_binary(x: Column, digits: int) -> Column:
     low = F.call_function("div", scaled, one).cast("decimal(20,0)")
     twice = 2 * (scaled - (low * one).cast("decimal(32,0)"))
     up = (twice > one) | ((twice == one) & (low % 2 == 1))
-    near = (low + F.when(up, 1).otherwise(0)).cast("double") / float(10**digits)
+    near = ((low + F.when(up, 1).otherwise(0)).cast("decimal(21,0)") * F.lit(Decimal(1).scaleb(-digits)).cast(f"decimal(6,{digits})")).cast("double")
     out = F.when(size < 1e-6, F.lit(0.0)).when(size >= 2.0**44, size).otherwise(near)
     return F.when(x < 0, -out).otherwise(out)
