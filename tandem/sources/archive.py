@@ -163,7 +163,8 @@ def _admit(path: str):
 
 def revalidated(spark: SparkSession, path: str) -> DataFrame:
     """Every entry read again: its digest, window and row count must agree with its file, else it is discarded with the reason."""
-    return manifest(spark, path).repartition(*WINDOW).mapInArrow(_admit(path), CHECKED)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, for entries are small and their files are not
+    return manifest(spark, path).repartition(parts, *WINDOW).mapInArrow(_admit(path), CHECKED)
 
 
 def rebuilt(spark: SparkSession, path: str, out: str, schema: StructType, again: Callable[[DataFrame], DataFrame], key: str, from_date: str, to_date: str) -> DataFrame:
