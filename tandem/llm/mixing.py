@@ -8,10 +8,12 @@
    gradient, where A[k, d] is the tokens of document d times its probability of
    domain k, and T the targets.  Documents of one cell of a grid over the posteriors
    share a rate, so one distributed aggregation gives all that the walk needs, exactly:
-   the tokens of each cell by domain.  The grid has at most CELLS cells, whatever the
-   corpus.  The walk goes on until the optimality condition holds.  Where the targets
-   are not met, the cells with a positive rate are split and the walk is taken again,
-   until they are no wider than FINEST or splitting gains nothing.
+   the tokens of each cell by domain.  The first grid has at most CELLS cells; beyond 8
+   domains, where no full grid is that small, it is one cell.  The walk goes on until the
+   optimality condition holds.  Where the targets are not met, the cells with a positive
+   rate are split into the halves, by every domain, that have documents, and the walk is
+   taken again, until they are no wider than FINEST.  A level adds at most CELLS cells:
+   where there would be more, those with the most tokens are split.
 
 Main path: DataFrame functions only.
 
@@ -44,6 +46,8 @@ PULL = 5.0
 TEMPER = 0.3
 #: Cells of the grid over the posteriors at most, and the width at which a cell is not split further.
 CELLS, FINEST = 5_000, 1e-4
+#: Domains up to which a full grid of two parts a side or more has at most CELLS cells.
+DENSE = 8
 #: Targets count as met within this share of all tokens; the walk ends within this of its optimum.
 MET, OPTIMAL = 1e-6, 1e-9
 
@@ -179,7 +183,12 @@ class Rates:
 
 
 def _cell(p: Column, k: int, grid: int) -> Column:
-    """The number of the cell of `grid` parts a side that p lies in; the last probability follows from the others."""
+    """The number of the cell of `grid` parts a side that p lies in; the last probability follows from the others.
+
+    Beyond DENSE probabilities it is a hash (two cells of one hash would share a rate, no more), and a grid of 1 is one cell.
+    """
+    if k > DENSE:
+        return F.lit(0).cast("long") if grid == 1 else F.xxhash64(*[F.floor(p[i] * grid).cast("int") for i in range(k - 1)])
     return sum((F.floor(p[i] * grid).cast("long") * F.lit((grid + 1) ** i) for i in range(1, k - 1)), F.floor(p[0] * grid).cast("long")) if k > 1 else F.lit(0).cast("long")
 
 
@@ -244,9 +253,24 @@ def fit_rates(soft: DataFrame, targets: list[float]) -> Rates:
         sums = cells.groupBy("cell").agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(k)])
         return {r["cell"]: np.array([r[f"t{i}"] for i in range(k)]) for r in sums.collect()}  # CELLS rows, or the cells inside of those split
 
+    def within(levels: list[tuple[int, ...]]) -> Column:
+        there = F.lit(True)
+        for lev, cells in enumerate(levels):
+            there = there & _cell(F.col("p"), k, grids[lev]).isin(list(cells))
+        return there
+
+    def heaviest(chosen: list[int], level: int) -> list[int]:
+        """Those of the chosen cells with the most tokens whose halves with documents are CELLS in all at most."""
+        cell, half = _cell(F.col("p"), k, grids[level]), _cell(F.col("p"), k, 2 * grids[level])
+        some = rows.where(within([*split, tuple(keys[i][1] for i in chosen)]))
+        halves = {r["cell"]: r["n"] for r in some.groupBy(cell.alias("cell")).agg(F.approx_count_distinct(half, 0.02).alias("n")).collect()}  # a row for each chosen cell
+        order = sorted(chosen, key=lambda i: (-float(a[i].sum()), keys[i]))
+        fit = np.cumsum([1.1 * halves[keys[i][1]] for i in order]) <= CELLS
+        return sorted(i for i, ok in zip(order, fit.tolist(), strict=True) if ok)
+
     grids, split, inside = [grid_for(k)], [], []
     found = totals(rows.select("tokens", "p", _cell(F.col("p"), k, grids[0]).alias("cell")))
-    whole = [1.0] * (grids[0] + 1) ** (k - 1)
+    whole = [1.0] * ((grids[0] + 1) ** (k - 1) if k <= DENSE else 1)
     if not found:
         return Rates(tuple(grids), tuple(whole), (), (), (0.0,) * k, tuple(goal.tolist()))
     # every cell that is not split: (level, cell) and its tokens by domain
@@ -256,12 +280,12 @@ def fit_rates(soft: DataFrame, targets: list[float]) -> Rates:
     while np.abs(r @ a - goal).max() > MET * size and 1 / grids[-1] > FINEST:
         level = len(grids) - 1
         chosen = [i for i, (lev, _) in enumerate(keys) if lev == level and r[i] > 0]
-        if not chosen or len(chosen) * 2 ** (k - 1) > CELLS:
+        if len(chosen) * 2 ** (k - 1) > CELLS:
+            chosen = heaviest(chosen, level)
+        if not chosen:
             break
         split.append(tuple(keys[i][1] for i in chosen))
-        there = F.lit(True)
-        for lev, cells in enumerate(split):
-            there = there & _cell(F.col("p"), k, grids[lev]).isin(list(cells))
+        there = within(split)
         grids.append(2 * grids[-1])
         found = totals(rows.where(there).select("tokens", "p", _cell(F.col("p"), k, grids[-1]).alias("cell")))
         rest = [i for i in range(len(keys)) if i not in set(chosen)]

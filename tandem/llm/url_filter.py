@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tandem.llm import common
 
-SALTS = 64
+#: Salts, for each shuffle partition, that all asked keys together would have; a hot key has its share of them.
+SALTS = 4
 _FAR = "9999-12-31"
 
 
@@ -85,10 +86,13 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     asked = table.where("host <> ''").select("row", at.alias("at"), F.explode(keys_of(F.col("host"), F.col("path"), F.col("whole"), deepest)).alias("k")).select("row", "at", "k.key", "k.width")
     counts = common.cut(asked.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     listed = spans.select("key").distinct().withColumn("listed", F.lit(True))
-    hot = common.share_of(counts, "key").join(listed, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"), F.lit(SALTS).alias("salts"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    size = max(1.0, total / (SALTS * int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    shared = common.share_of(counts, "key", total=total).join(counts, "key").join(listed, "key", "left")
+    hot = shared.select("key", F.coalesce("listed", F.lit(False)).alias("listed"), F.ceil(F.col("n") / size).cast("int").alias("salts"))
     hot = F.broadcast(hot)
     salted_spans = spans.join(hot.drop("listed"), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    salted = asked.join(hot, "key", "left").where("coalesce(listed, true)").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    salted = asked.join(hot, "key", "left").where("coalesce(listed, true)").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).otherwise(F.lit(0)))
     met = salted.join(salted_spans.select("key", "salt", "action", "valid_from", "valid_to"), ["key", "salt"]).where("valid_from <= at and at < valid_to")
     best = F.max(F.struct(F.col("width"), (F.col("action") == "allow").cast("int").alias("allow"), F.col("key"), F.col("action")))
     verdict = met.groupBy("row").agg(best.alias("v"))

@@ -52,6 +52,17 @@ def test_toxicity_ignores_held_out_labels_and_other_columns(spark):
     assert score(docs, labels) == score(other, flipped)
 
 
+def test_toxicity_learns_from_a_bounded_number_of_rows(spark, monkeypatch):
+    """A labelled id that a thousand rows share is one row of training."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet")
+    one = next(r["doc_id"] for r in labels.orderBy("doc_id").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5)
+    many = docs.unionByName(spark.range(1000).select(F.lit(one).alias("doc_id"), F.concat(F.lit("you fool "), F.col("id").cast("string")).alias("text")))
+    seen, plain = [], toxicity.learned_stems
+    monkeypatch.setattr(toxicity, "learned_stems", lambda rows: seen.append(rows.count()) or plain(rows))
+    got = toxicity.toxicity(many, labels, max_labelled=60)
+    assert got.count() == docs.count() + 1000 and len(seen) == 1 and 0 < seen[0] <= 60
+
+
 def test_toxicity_edges(spark, odd):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd, none).collect()
@@ -147,6 +158,21 @@ def test_rates_of_other_numbers_of_domains(spark, k):
     assert np.allclose(got, goal, atol=1e-4 * tokens.sum()) and all(r["r"] == 1.0 for r in rows if not r["tokens"])
 
 
+@pytest.mark.parametrize("k, n, alpha, cells", [(9, 300, 0.5, 5000), (14, 400, 1.0, 5000), (24, 600, 0.3, 5000), (24, 600, 0.3, 300)])
+def test_rates_of_many_domains(spark, monkeypatch, k, n, alpha, cells):
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    rng = np.random.default_rng(k)
+    tokens, p = rng.integers(1, 60, n), rng.dirichlet([alpha] * k, n)
+    soft = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    a = (tokens[:, None] * p).T
+    goal = rng.dirichlet([20.0] * k) * tokens.sum()
+    rates = mixing.fit_rates(soft, goal.tolist())
+    got = sum(np.array(r["p"]) * r["tokens"] * r["r"] for r in soft.select("tokens", "p", rates.column().alias("r")).collect())
+    best = np.linalg.norm(a @ plain_rates(a, goal, 20_000) - goal)
+    assert np.allclose(got, rates.totals) and np.linalg.norm(got - goal) <= 1e-3 * tokens.sum() + best
+    assert max(map(len, (rates.whole, *rates.split, *rates.inside))) <= cells
+
+
 def plain_posterior(text, domains, spark_rows):
     """Naive Bayes in plain Python: priors, bins of statistics, tempered word weights."""
     text = text or ""
