@@ -67,13 +67,17 @@ def q_expectations(spark: SparkSession, d: str) -> DataFrame:
     return evidence.expected(actual, wanted, ["user_id", "side"], "there")
 
 
-@query("""WITH m AS (SELECT o_orderkey, o_custkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderpriority LIKE '%URGENT%' AS ident, o_orderstatus IN ('F', 'P') AS a, o_orderstatus IN ('O', 'P') AS b, o_orderpriority LIKE '2%' AS trade, o_custkey % 2 = 0 AS team FROM orders)
-SELECT o_orderkey, ident AND ((a AND b) OR (trade AND team)) AS loose, ident AND a AND b AS strict FROM m""")
+@query("""WITH t AS (SELECT doc_id, lang, source, replace(text, ' this ', ' traded ') AS text, o_orderdate AS day, o_orderpriority AS kind, c_nationkey AS team FROM documents LEFT JOIN orders ON o_orderkey = doc_id LEFT JOIN customer ON c_custkey = o_custkey),
+m AS (SELECT doc_id, coalesce((doc_id = 7 OR contains(lower(source), 'src1') OR contains(lower(text), 'is and')) AND year(day) IN (1995), false) AS own, coalesce(contains(lower(text), ' for ') AND contains(lower(text), ' of the '), false) AS both_named,
+  (contains(lower(coalesce(kind, '')), 'trade') OR contains(lower(coalesce(text, '')), 'trade')) AND coalesce(team < 12, false) AS trade FROM t)
+SELECT doc_id, own AND (both_named OR trade) AS loose, own AND both_named AS strict FROM m""")
 def q_boundary_events(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that name a move by identifier, slug or text, loosely and strictly."""
-    ident = (F.col("o_custkey") % 5 == 0) | (F.col("o_orderkey") % 7 == 0) | F.col("o_orderpriority").contains("URGENT")
-    loose, strict = evidence.boundary_event(ident, F.col("o_orderstatus").isin("F", "P"), F.col("o_orderstatus").isin("O", "P"), F.col("o_orderpriority").startswith("2"), F.col("o_custkey") % 2 == 0)
-    return table(spark, d, "orders").select("o_orderkey", loose.alias("loose"), strict.alias("strict"))
+    """Texts that tell of a member's move within a year, by id, slug or name, loosely and strictly; one word stands for a verb."""
+    moves = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    rows = table(spark, d, "documents").join(moves, F.col("doc_id") == F.col("o_orderkey"), "left").withColumn("text", F.replace("text", F.lit(" this "), F.lit(" traded ")))
+    ident = evidence.names_member(F.col("doc_id"), F.col("source"), F.col("text"), ("7", "src1", "Is and"))
+    loose, strict = evidence.boundary_event(ident, F.col("o_orderdate"), F.col("text"), F.col("o_orderpriority"), F.col("c_nationkey"), 1995, [" for ", " of the "], [str(i) for i in range(12)])
+    return rows.select("doc_id", loose.alias("loose"), strict.alias("strict"))
 
 
 @query("""SELECT p_partkey, contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'brand#1') AND contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'a') AND p_size > 10 AS cells, contains(lower(p_type), 'steel') AS serialised FROM part""")
@@ -131,15 +135,38 @@ def q_archive_gates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""WITH r AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'On Court' WHEN 'O' THEN 'Off Court' ELSE 'Total' END AS label, o_totalprice AS v FROM orders),
-n AS (SELECT *, lead(label) OVER w AS nl, lead(v) OVER w AS nv FROM r WHERE label <> 'Total' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey, o_orderkey, v AS "on", nv AS off, v - nv AS swing FROM n WHERE label = 'On Court' AND nl = 'Off Court'""")
+@query("""WITH r AS (SELECT o_orderkey // 64 AS page, o_orderkey % 64 AS place, o_orderkey AS k, o_orderstatus AS split, left(o_orderpriority, 1) IN ('1', '2') AS team, CAST(floor(o_totalprice) AS BIGINT) AS mp, o_orderkey % 300 / 10.0 AS orb, o_orderkey % 70 / 10.0 AS drb, o_custkey % 500 / 10.0 AS trb FROM orders),
+n AS (SELECT *, lead(split) OVER w AS s2, lead(team) OVER w AS t2, lead(mp) OVER w AS mp2, lead(orb) OVER w AS orb2, lead(drb) OVER w AS drb2, lead(trb) OVER w AS trb2, lead(k) OVER w AS k2 FROM r WHERE split IN ('F', 'O') AND k % 5 <> 1 AND k % 11 <> 0 WINDOW w AS (PARTITION BY page ORDER BY place))
+SELECT page, CASE WHEN team THEN 'A' ELSE 'B' END AS team, mp AS on_minutes, orb AS on_orb_pct, drb AS on_drb_pct, trb AS on_trb_pct, mp2 AS off_minutes, orb2 AS off_orb_pct, drb2 AS off_drb_pct, trb2 AS off_trb_pct, round(trb - trb2, 1) AS swing FROM n WHERE split = 'F' AND s2 = 'O' AND team = t2""")
 def q_on_off_page(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of seven cells or more with one of two labels, an off row after its on row."""
-    label = F.when(F.col("o_orderstatus") == "F", "On Court").when(F.col("o_orderstatus") == "O", "Off Court").otherwise("Total")
-    cells = F.array(label, F.col("o_totalprice").cast("string"), *[F.lit("") for _ in range(5)])
-    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", cells.alias("cells")).where(F.size("cells") >= 7)
-    rows = rows.select("o_custkey", "o_orderkey", F.get("cells", F.lit(0)).alias("label"), F.get("cells", F.lit(1)).cast("double").alias("v"))
-    return evidence.on_off_rows(rows, "o_custkey", "o_orderkey", "label", "v")
+    """Pages of up to 64 orders in a table, parsed: short rows, rows without numbers, other splits and a second table do not count."""
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    rate = lambda c, n: F.format_string("+%.1f", F.col(c) % n / 10)
+    split = F.when(F.col("o_orderstatus") == "F", "On Court").when(F.col("o_orderstatus") == "O", "Off <b>Court</b>").otherwise("Total")
+    team = F.when(F.left("o_orderpriority", F.lit(1)).isin("1", "2"), "A").otherwise("B")
+    minutes = F.when(F.col("o_orderkey") % 11 == 0, "n/a").otherwise(F.format_number(F.floor("o_totalprice"), 0))
+    long = F.concat(cell(F.lit("-")), cell(rate("o_orderkey", 300)), cell(rate("o_orderkey", 70)), cell(rate("o_custkey", 500)))
+    tr = F.concat(F.lit("<tr><th>"), split, F.lit("</th>"), cell(team), cell(minutes), F.when(F.col("o_orderkey") % 5 == 1, "").otherwise(long), F.lit("</tr>"))
+    rows = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 64).alias("page"), F.struct(F.col("o_orderkey"), tr.alias("tr")).alias("r"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["tr"]), "\n")
+    other = F.lit("<table class='on-off'><tr><td>On Court</td><td>A</td><td>1</td><td>-</td><td>1</td><td>1</td><td>1</td></tr></table>")
+    pages = rows.groupBy("page").agg(F.concat(F.lit("<h2>Splits</h2><table class='x on-off'><tr><th>Split</th><th>Team</th></tr>"), body, F.lit("</table>"), other).alias("html"))
+    return evidence.on_off_page(pages, "html", ["page"], "on-off").drop("row_index")
+
+
+@query("""SELECT o_orderkey, nullif(CAST(l_suppkey AS VARCHAR), '0') AS id, 'S' || CASE WHEN o_custkey % 5 = 2 THEN '' ELSE ' ' END || l_suppkey AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE CASE WHEN o_custkey % 5 = 2 THEN l_linenumber % 2 = 1 WHEN o_custkey % 7 = 2 THEN l_linenumber % 2 = 0 ELSE false END""")
+def q_roster_pick(spark: SparkSession, d: str) -> DataFrame:
+    """An order as a game's payload: its odd lines are the home side, the others the visitors; the players of team 2."""
+    k = F.col("l_suppkey").cast("string")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.when(F.col("l_linenumber") % 2 == 1, F.struct(F.col("l_suppkey").alias("personId"), F.concat(F.lit("S"), k).alias("name")))).alias("home"),
+        F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, F.struct(k.alias("pid"), F.lit("S").alias("fn"), k.alias("ln")))).alias("visitor"),
+    )
+    games = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    sides = F.struct(F.struct((F.col("o_custkey") % 5).alias("teamId"), F.col("home").alias("players")).alias("home"), F.struct((F.col("o_custkey") % 7).alias("tid"), F.array().cast("array<string>").alias("players"), F.col("visitor").alias("pl")).alias("visitor"))
+    payload = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.struct(sides.alias("data")))).otherwise(F.to_json(sides))
+    return games.select("o_orderkey", F.explode(evidence.roster_pick(payload, F.lit(2))).alias("p")).select("o_orderkey", "p.*")
 
 
 @query("""SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, o_orderpriority || ' of ' || o_orderkey AS text FROM orders WHERE o_orderkey % 3 <> 0""")
@@ -208,17 +235,24 @@ def q_metric_payload(spark: SparkSession, d: str) -> DataFrame:
     return wrapped.select("l_suppkey", "metric", F.explode(tables.list_results(F.col("body"), "struct<n bigint, qty double>")).alias("r")).select("l_suppkey", "metric", "r.*")
 
 
-@query("""SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'payload' WHEN page_id % 3 = 1 THEN 'html' ELSE 'remote' END AS source FROM pages""")
+@query("""WITH h AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, coalesce(regexp_extract(url, '^https?://([^/?#]*)', 1), '') AS host, html FROM pages),
+p AS (SELECT host, title, min(page_id) AS first FROM h WHERE length(title) > 60 GROUP BY host, title), a AS (SELECT html, min(page_id) AS first FROM pages GROUP BY html)
+SELECT h.page_id, CASE WHEN p.first < h.page_id THEN 'payload' WHEN a.first < h.page_id THEN 'html' WHEN length(h.html) > 0 THEN 'remote' END AS source, CASE WHEN p.first < h.page_id THEN p.first WHEN a.first < h.page_id THEN a.first WHEN length(h.html) > 0 THEN h.page_id END AS found
+FROM h LEFT JOIN p ON p.host = h.host AND p.title = h.title LEFT JOIN a ON a.html = h.html""")
 def q_page_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Each page from the first place that has it: payload cache, page cache, remote."""
-    p = table(spark, d, "pages")
-    places = [p.where("page_id % 3 = 0"), p.where("page_id % 3 in (0, 1)"), p]
-    found = None
-    for rank, (name, rows) in enumerate(zip(("payload", "html", "remote"), places, strict=True)):
-        one = rows.select("page_id", "url", F.lit(rank).alias("rank"), F.lit(name).alias("source"), (F.length("html") > 0).alias("usable"))
-        found = one if found is None else found.unionByName(one)
-    first = evidence.first_usable(found.withColumn("v", F.struct("url", "source")), "page_id", "rank", F.col("usable"), "v")
-    return first.select("page_id", "v.url", "v.source")
+    """Each page from the first place that has it: an earlier page's payload (of one host and title, usable with a long title), an earlier page of the same bytes, the page itself."""
+    host, title = F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    p = table(spark, d, "pages").select("page_id", host.alias("host"), title.alias("title"), F.length("html").alias("size"), F.sha2("html", 256).alias("digest"))
+    payloads = p.groupBy("host", "title").agg(F.min("page_id").alias("first"))
+    bytes_of = p.groupBy("digest").agg(F.min("page_id").alias("first"))
+    earlier = F.col("first") < F.col("page_id")
+    places = [
+        p.join(payloads, ["host", "title"]).where(earlier).select("page_id", F.lit(0).alias("rank"), (F.length("title") > 60).alias("usable"), F.struct(F.lit("payload").alias("source"), F.col("first").alias("found")).alias("v")),
+        p.join(bytes_of, "digest").where(earlier).select("page_id", F.lit(1).alias("rank"), F.lit(True).alias("usable"), F.struct(F.lit("html").alias("source"), F.col("first").alias("found")).alias("v")),
+        p.select("page_id", F.lit(2).alias("rank"), (F.col("size") > 0).alias("usable"), F.struct(F.lit("remote").alias("source"), F.col("page_id").alias("found")).alias("v")),
+    ]
+    candidates = places[0].unionByName(places[1]).unionByName(places[2])
+    return evidence.first_usable(candidates, "page_id", "rank", F.col("usable"), "v").select("page_id", "v.source", "v.found")
 
 
 @query("""WITH y AS (SELECT DISTINCT CAST(regexp_extract(link, '[0-9]+') AS INTEGER) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a[^>]* href="([^"]*)"', 1)) AS link FROM pages) WHERE regexp_matches(link, '[0-9]+')),

@@ -1,12 +1,14 @@
 """Stated rules, each held against its plain form."""
 
+import datetime
 import html
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from tandem.functions import scalars as S
-from tandem.operators import onoff, quality, segments, tenure
+from tandem.operators import evidence, onoff, quality, segments, tenure
 
 
 def test_rounding_follows_the_binary_value(spark):
@@ -68,3 +70,61 @@ def test_guidance_by_name(spark):
     names = spark.createDataFrame([(m,) for m in want], "metric string")
     got = {r["metric"]: (r["g"], r["f"]) for r in names.select("metric", S.metric_guidance(F.col("metric")).alias("g"), S.metric_family(F.col("metric")).alias("f")).collect()}
     assert got == want
+
+
+def test_seasons_with_other_bounds(spark):
+    """Two seasons began or ended at other times."""
+    years = [1999, 2018, 2019, 2020, 2021]
+    first, last = S.season_bounds(F.col("y"))
+    got = {r["y"]: (r["a"], r["b"]) for r in spark.createDataFrame([(y,) for y in years], "y int").select("y", first.alias("a"), last.alias("b")).collect()}
+    want = {y: (datetime.date(y, 10, 1), datetime.date(y + 1, 4, 30)) for y in years}
+    want[2019] = (datetime.date(2019, 10, 1), datetime.date(2020, 8, 31))
+    want[2020] = (datetime.date(2020, 12, 1), datetime.date(2021, 5, 31))
+    assert got == want
+
+
+def test_boundary_events(spark):
+    day = datetime.date(2024, 2, 1)
+    rows = [
+        (7, "x", "From Here to There", "Move", 1, day, True, True, True),
+        (8, "a-JOHN-doe", "here and there", "Move", 1, day, True, True, True),
+        (8, "x", "JOHN DOE: here, there", "Move", 1, day, True, True, True),
+        (8, "x", "here and there", "Move", 1, day, False, False, False),
+        (7, "x", "only here", "TRADE", 1, day, True, True, False),
+        (7, "x", "was traded", "Move", 2, day, True, True, False),
+        (7, "x", "was traded", "Move", 3, day, True, False, False),
+        (7, "x", "here there", "Trade", 1, datetime.date(2023, 2, 1), True, False, False),
+        (7, None, None, None, None, day, True, False, False),
+        (None, None, "here there", "Trade", 1, None, False, False, False),
+    ]
+    df = spark.createDataFrame(rows, "id int, slug string, text string, kind string, team int, day date, a boolean, b boolean, c boolean")
+    ident = evidence.names_member(F.col("id"), F.col("slug"), F.col("text"), ("7", "john-doe", "John Doe"))
+    loose, strict = evidence.boundary_event(ident, F.col("day"), F.col("text"), F.col("kind"), F.col("team"), 2024, ["here", "there"], ["1", "2"])
+    got = df.select("a", "b", "c", ident.alias("i"), loose.alias("l"), strict.alias("s")).collect()
+    assert [(r["i"], r["l"], r["s"]) for r in got] == [(r["a"], r["b"], r["c"]) for r in got]
+
+
+def test_roster_pick(spark):
+    long, short = {"personId": 5, "name": "A B"}, {"pid": "6", "fn": "C", "ln": "D"}
+    cases = [
+        ({"data": {"home": {"teamId": 3, "players": [long]}, "visitor": {"tid": "4", "pl": [short]}}}, [("5", "A B")]),
+        ({"home": {"teamId": 9}, "visitor": {"teamId": "", "tid": 3, "players": [], "pl": [short, {"PLAYER_ID": 1, "playerName": " E "}]}}, [("6", "C D"), ("1", "E")]),
+        ({"data": {}, "home": {"teamId": 3, "players": [long]}}, []),
+        ({"home": {"teamId": 3}, "visitor": {"teamId": 3, "players": [long]}}, []),
+        ({"home": {"teamId": 4, "players": [long]}}, []),
+        ({}, []),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)] + [(98, None), (99, "no json")], "i int, p string")
+    got = {r["i"]: [tuple(x) for x in r["r"]] for r in df.select("i", evidence.roster_pick(F.col("p"), F.lit(3)).alias("r")).collect()}
+    assert got == {**{i: want for i, (_, want) in enumerate(cases)}, 98: [], 99: []}
+
+
+def test_on_off_page(spark):
+    def tr(*cells):
+        return "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+
+    on, off = ("On Court", "AAA", "1,200", "-", "+1.5", "-2.0", "+3.3"), ("Off Court", "AAA", "300", "-", "1", "2", "3")
+    page = "<table class='other'>" + tr(*on) + tr(*off) + "</table><table class='split'>" + tr(*on) + tr("On Court", "AAA") + tr(*off) + tr(*off) + tr(*on) + tr("Off Court", "BBB", *off[2:]) + tr(*off) + tr(*on) + tr("Off Court", "AAA", "n/a", *off[3:]) + tr(*off) + "</table><table class='split'>" + tr(*on) + tr(*off) + "</table>"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<table class='split'></table>")], "page int, html string")
+    got = evidence.on_off_page(df, "html", ["page"], "split").orderBy("row_index").collect()
+    assert [(r["page"], r["team"], r["on_minutes"], r["on_drb_pct"], r["off_minutes"], r["off_trb_pct"], r["swing"]) for r in got] == [(1, "AAA", 1200, -2.0, 300, 3.0, 0.3)] * 2
