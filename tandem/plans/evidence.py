@@ -235,24 +235,20 @@ def q_metric_payload(spark: SparkSession, d: str) -> DataFrame:
     return wrapped.select("l_suppkey", "metric", F.explode(tables.list_results(F.col("body"), "struct<n bigint, qty double>")).alias("r")).select("l_suppkey", "metric", "r.*")
 
 
-@query("""WITH h AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, coalesce(regexp_extract(url, '^https?://([^/?#]*)', 1), '') AS host, html FROM pages),
-p AS (SELECT host, title, min(page_id) AS first FROM h WHERE length(title) > 60 GROUP BY host, title), a AS (SELECT html, min(page_id) AS first FROM pages GROUP BY html)
-SELECT h.page_id, CASE WHEN p.first < h.page_id THEN 'payload' WHEN a.first < h.page_id THEN 'html' WHEN length(h.html) > 0 THEN 'remote' END AS source, CASE WHEN p.first < h.page_id THEN p.first WHEN a.first < h.page_id THEN a.first WHEN length(h.html) > 0 THEN h.page_id END AS found
-FROM h LEFT JOIN p ON p.host = h.host AND p.title = h.title LEFT JOIN a ON a.html = h.html""")
+@query("""WITH h AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract(url, '^https?://([^/?#]*/[^/?#]*)', 1) AS place, html FROM pages),
+p AS (SELECT title, min(page_id) AS first FROM h WHERE length(title) > 60 GROUP BY title), a AS (SELECT place, min(page_id) AS first FROM h GROUP BY place)
+SELECT page_id, CASE WHEN p.first < page_id THEN 'payload' WHEN a.first < page_id THEN 'html' WHEN length(html) > 0 THEN 'remote' END AS source, CASE WHEN p.first < page_id THEN p.first WHEN a.first < page_id THEN a.first WHEN length(html) > 0 THEN page_id END AS found
+FROM h LEFT JOIN p USING (title) LEFT JOIN a USING (place)""")
 def q_page_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Each page from the first place that has it: an earlier page's payload (of one host and title, usable with a long title), an earlier page of the same bytes, the page itself."""
-    host, title = F.regexp_extract("url", "^https?://([^/?#]*)", 1), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    p = table(spark, d, "pages").select("page_id", host.alias("host"), title.alias("title"), F.length("html").alias("size"), F.sha2("html", 256).alias("digest"))
-    payloads = p.groupBy("host", "title").agg(F.min("page_id").alias("first"))
-    bytes_of = p.groupBy("digest").agg(F.min("page_id").alias("first"))
-    earlier = F.col("first") < F.col("page_id")
-    places = [
-        p.join(payloads, ["host", "title"]).where(earlier).select("page_id", F.lit(0).alias("rank"), (F.length("title") > 60).alias("usable"), F.struct(F.lit("payload").alias("source"), F.col("first").alias("found")).alias("v")),
-        p.join(bytes_of, "digest").where(earlier).select("page_id", F.lit(1).alias("rank"), F.lit(True).alias("usable"), F.struct(F.lit("html").alias("source"), F.col("first").alias("found")).alias("v")),
-        p.select("page_id", F.lit(2).alias("rank"), (F.col("size") > 0).alias("usable"), F.struct(F.lit("remote").alias("source"), F.col("page_id").alias("found")).alias("v")),
-    ]
-    candidates = places[0].unionByName(places[1]).unionByName(places[2])
-    return evidence.first_usable(candidates, "page_id", "rank", F.col("usable"), "v").select("page_id", "v.source", "v.found")
+    """Each page from the first place that has it: an earlier page's payload (of its title, usable where that is long), an earlier page of its host and first folder, the page itself."""
+    title, place = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.regexp_extract("url", "^https?://([^/?#]*/[^/?#]*)", 1)
+    p = table(spark, d, "pages").select("page_id", title.alias("title"), place.alias("place"), F.length("html").alias("size"))
+    candidate = lambda rank, source, found, usable: (F.lit(rank).alias("rank"), usable.alias("usable"), F.struct(F.lit(source).alias("source"), F.col(found).alias("found")).alias("v"))
+    first = lambda key: p.join(p.groupBy(key).agg(F.min("page_id").alias("first")), key).where(F.col("first") < F.col("page_id"))
+    payloads = first("title").select("page_id", *candidate(0, "payload", "first", F.length("title") > 60))
+    cached = first("place").select("page_id", *candidate(1, "html", "first", F.lit(True)))
+    remote = p.select("page_id", *candidate(2, "remote", "page_id", F.col("size") > 0))
+    return evidence.first_usable(payloads.unionByName(cached).unionByName(remote), "page_id", "rank", F.col("usable"), "v").select("page_id", "v.source", "v.found")
 
 
 @query("""WITH y AS (SELECT DISTINCT CAST(regexp_extract(link, '[0-9]+') AS INTEGER) AS n FROM (SELECT unnest(regexp_extract_all(html, '<a[^>]* href="([^"]*)"', 1)) AS link FROM pages) WHERE regexp_matches(link, '[0-9]+')),
