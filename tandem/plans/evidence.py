@@ -236,7 +236,7 @@ def q_metric_payload(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, regexp_extract(url, '^https?://([^/?#]*/[^/?#]*)', 1) AS place, html FROM pages),
-p AS (SELECT title, min(page_id) AS first FROM h WHERE length(title) > 60 GROUP BY title), a AS (SELECT place, min(page_id) AS first FROM h GROUP BY place)
+p AS (SELECT title, min(page_id) AS first FROM h WHERE length(title) > 30 GROUP BY title), a AS (SELECT place, min(page_id) AS first FROM h GROUP BY place)
 SELECT page_id, CASE WHEN p.first < page_id THEN 'payload' WHEN a.first < page_id THEN 'html' WHEN length(html) > 0 THEN 'remote' END AS source, CASE WHEN p.first < page_id THEN p.first WHEN a.first < page_id THEN a.first WHEN length(html) > 0 THEN page_id END AS found
 FROM h LEFT JOIN p USING (title) LEFT JOIN a USING (place)""")
 def q_page_cache(spark: SparkSession, d: str) -> DataFrame:
@@ -245,7 +245,7 @@ def q_page_cache(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages").select("page_id", title.alias("title"), place.alias("place"), F.length("html").alias("size"))
     candidate = lambda rank, source, found, usable: (F.lit(rank).alias("rank"), usable.alias("usable"), F.struct(F.lit(source).alias("source"), F.col(found).alias("found")).alias("v"))
     first = lambda key: p.join(p.groupBy(key).agg(F.min("page_id").alias("first")), key).where(F.col("first") < F.col("page_id"))
-    payloads = first("title").select("page_id", *candidate(0, "payload", "first", F.length("title") > 60))
+    payloads = first("title").select("page_id", *candidate(0, "payload", "first", F.length("title") > 30))
     cached = first("place").select("page_id", *candidate(1, "html", "first", F.lit(True)))
     remote = p.select("page_id", *candidate(2, "remote", "page_id", F.col("size") > 0))
     return evidence.first_usable(payloads.unionByName(cached).unionByName(remote), "page_id", "rank", F.col("usable"), "v").select("page_id", "v.source", "v.found")
