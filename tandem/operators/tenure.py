@@ -64,10 +64,8 @@ def as_of(
     within = Window.partitionBy(*names, "_b").orderBy(turn("_t"), F.asc("_s"), turn("_r")).rowsBetween(Window.unboundedPreceding, 0)
     seen = line.withColumn("_m", F.last("_r", ignorenulls=True).over(within)).where("_l is not null")
     # a table of at most (keys x buckets) rows: what each bucket hands on to those after it
-    tails = line.where("_r is not null").groupBy(*names, "_b").agg((F.min if forward else F.max)("_r").alias("_tail"))
-    heads = line.where("_l is not null").groupBy(*names, "_b").agg(F.lit(None).cast(r.schema["_r"].dataType).alias("_tail"))
+    handed = line.groupBy(*names, "_b").agg((F.min if forward else F.max)("_r").alias("_tail"))
     by = Window.partitionBy(*names).orderBy(turn("_b"))
-    handed = tails.unionByName(heads).groupBy(*names, "_b").agg(F.first("_tail", ignorenulls=True).alias("_tail"))
     handed = handed.withColumn("_head", F.last("_tail", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))).where("_head is not null").drop("_tail")
     filled = seen.join(handed, [*names, "_b"], "left").withColumn("_m", F.when(F.col("_t").isNotNull(), F.coalesce("_m", "_head")))
     return filled.select("_l.*", *[F.col(f"_m.{v}").alias(v) for v in values], F.col("_m._at").alias(f"matched_{right_time}"))
