@@ -82,23 +82,22 @@ def laid_out(rows: DataFrame, on: list[str], key: str, text: str, number: str, a
     # a name's rows, as far as they count, and what stands before its first number
     names = kept(spots.groupBy(*name).agg(F.sum(F.size("_keys")).alias("_n"), (F.min("_seq") - 1).alias("_first")))
 
-    # names that are near enough, farther ones only for those with too few rows
-    pairs = names.select(*name, F.col("_text").alias("_other"), F.lit(0.0).alias("distance"), "_n")
+    # names that are near enough, farther ones only for those with too few rows; a name's pair with itself is always there
+    enough, own = F.sum("_n").over(Window.partitionBy(*name)) >= need, F.col("_text") == F.col("_other")
+    pairs = names.select(*name, F.col("_text").alias("_other"), F.lit(0.0).alias("distance"), "_n", (F.col("_n") >= need).alias("_full"))
     for limit in (*[s for s in steps if s < at_most], at_most):
-        full = pairs.groupBy(*name).agg(F.sum("_n").alias("_sum")).where(F.col("_sum") >= need).select(*name)
-        open_ = kept(names.join(full, name, "left_anti"))
+        open_ = pairs.where(own & ~F.col("_full")).select(*name)
         if open_.isEmpty():
             break
-        found = near_names(open_, names.withColumnRenamed("_text", "_other"), on, "_text", "_other", limit).where(F.col("_text") != F.col("_other"))
-        found = found.join(names.select(*on, F.col("_text").alias("_other"), "_n"), [*on, "_other"]).select(*pairs.columns)
-        settled = pairs.join(open_.select(*name, F.lit(True).alias("_open")), name, "left").where((F.col("_text") == F.col("_other")) | F.col("_open").isNull()).drop("_open")
-        pairs = kept(settled.unionByName(found))
+        found = near_names(open_, names.withColumnRenamed("_text", "_other"), on, "_text", "_other", limit).where(~own)
+        found = found.join(names.select(*on, F.col("_text").alias("_other"), "_n"), [*on, "_other"]).select(*name, "_other", "distance", "_n")
+        settled = pairs.where(own | F.col("_full")).drop("_full")
+        pairs = kept(settled.unionByName(found).withColumn("_full", enough))
     of_name = Window.partitionBy(*name)
     up_to, level = F.sum("_n").over(of_name.orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(Window.partitionBy(*name, "distance"))
     pairs = pairs.withColumn("_before", up_to - level).where(F.col("_before") < need).select(*name, "_other", "distance")
 
     # where each number stands among the near name's, and what stands around
-    own = F.col("_text") == F.col("_other")
     wanted = spots.select(*spot, F.col("_seq").alias("_from")).join(pairs, name)
     right = spots.select(*on, F.col("_text").alias("_other"), "_number", F.col("_seq").alias("_below"))
     placed = tenure.as_of(wanted.where(~own), right, [*on, "_other"], "_number", "_number", ["_below"]).select(*wanted.columns, "_below")
