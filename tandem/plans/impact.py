@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tandem.functions import scalars as S
 from tandem.operators import groups, intervals, onoff, ranking, runs
 from tandem.plans.registry import query
-from tandem.sources.tables import facts, table
+from tandem.sources.tables import dealt, facts, table
 
 FACTS = """facts AS (
   SELECT CAST(year(o_orderdate) AS INTEGER) AS season, c_nationkey AS team, l_suppkey AS member, l_orderkey, l_partkey, l_quantity AS qty,
@@ -319,7 +319,9 @@ def q_lineup_identity(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH g AS (SELECT l_orderkey, l_suppkey AS m, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL)
 SELECT a.m AS focal, b.m AS mate, count(*) AS shared, sum(a.q) AS focal_qty, sum(b.q) AS mate_qty FROM g a JOIN g b ON a.l_orderkey = b.l_orderkey AND a.m <> b.m GROUP BY ALL""")
 def q_pair_metrics(spark: SparkSession, d: str) -> DataFrame:
-    g = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_suppkey").alias("m")).agg(F.sum("l_quantity").alias("q"))
+    """Lines are dealt by order, so that an order's sums and its pairs are made in one task without another shuffle."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    g = dealt(lines, lines.count(), "l_orderkey").groupBy("l_orderkey", F.col("l_suppkey").alias("m")).agg(F.sum("l_quantity").alias("q"))
     return groups.pair_rows(g, "l_orderkey", "m", ["q"]).groupBy("focal", "mate").agg(F.count(F.lit(1)).alias("shared"), F.sum("q").alias("focal_qty"), F.sum("mate_q").alias("mate_qty"))
 
 

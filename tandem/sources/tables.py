@@ -27,6 +27,20 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows that a task holds at most where rows are dealt for a join with themselves or for groups nearly as many as rows.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows dealt by keys to as many tasks as n rows ask for.
+
+    Groups by these keys, or by more, are then made in one pass after the shuffle: a task holds TASK_ROWS rows' worth
+    of them, whatever the size of the input, and no task before it a table of its own.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, n // TASK_ROWS + 1)
+    return rows.repartition(tasks, *keys)
+
+
 def payload_rows(text: Column, row: str, many: str = "multi_row_table_data", one: str = "single_row_table_data") -> Column:
     """Rows of a table payload in JSON: a list, or a single object; null when it has neither (an error of the payload)."""
     parsed = F.from_json(text, f"{many} array<{row}>, {one} {row}")

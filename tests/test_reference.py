@@ -258,3 +258,19 @@ def test_resuming(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(source)
         incremental.land(spark, source, "id long", str(tmp_path / "cp"), lambda df, _: seen.append(df.count())).awaitTermination()
     assert seen == [3, 4]
+
+
+def _tasks(df):
+    """Partitions of every shuffle that the plan states, by the keys it deals by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\), REPARTITION_BY_NUM", plan)
+
+
+def test_pairs_are_made_where_lines_were_dealt(spark, monkeypatch):
+    """The tasks that make pairs follow the rows, and no other shuffle lies before them."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    lines = tables.table(spark, DATA, "lineitem").count()
+    df = catalog.queries()["q_pair_metrics"](spark, DATA)
+    assert {int(n) for _, n in _tasks(df)} == {lines // 500 + 1}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") <= 1  # that of the sums by pair
