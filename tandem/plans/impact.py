@@ -37,7 +37,9 @@ KEYS = ["season", "team", "member"]
 
 
 def members(spark: SparkSession, d: str) -> DataFrame:
-    return groups.additive_totals(facts(spark, d).withColumn("n", F.lit(1).cast("long")), KEYS, SUMS)
+    """Sums by key; keys are nearly as many as rows, so rows are dealt by key instead of being summed before and after a shuffle."""
+    rows = facts(spark, d).select(*KEYS, *SUMS[:-1], F.lit(1).cast("long").alias("n"))
+    return groups.additive_totals(dealt(rows, table(spark, d, "lineitem").count(), *KEYS), KEYS, SUMS)
 
 
 def split(spark: SparkSession, d: str) -> DataFrame:
@@ -231,11 +233,20 @@ def q_weighted_mean_pairwise(spark: SparkSession, d: str) -> DataFrame:
   round(sum("on" * w_on) / nullif(sum(CASE WHEN "on" IS NOT NULL THEN w_on END), 0), 6) AS mean_on, round(sum("off" * w_off) / nullif(sum(CASE WHEN "off" IS NOT NULL THEN w_off END), 0), 6) AS mean_off,
   min("on") + 0 AS min_on, max("on") + 0 AS max_on FROM l GROUP BY member, metric""")
 def q_career_metric_summary(spark: SparkSession, d: str) -> DataFrame:
-    mean = lambda x: F.round(onoff.weighted_mean(F.col(x), F.col(f"w_{x}"), pairwise=True), 6).alias(f"mean_{x}")
-    return long_table(spark, d).groupBy("member", "metric").agg(
+    """The metrics side by side until each member is one row: distinct seasons and teams are counted once and not for every metric."""
+    on, off = rates("on_"), rates("off_")
+    s = split(spark, d).select("member", "season", "team", F.col("on_qty").alias("w_on"), F.col("off_qty").alias("w_off"), *[side[m].alias(f"{m}_{x}") for x, side in (("on", on), ("off", off)) for m in METRICS])
+    mean = lambda m, x: F.round(onoff.weighted_mean(F.col(f"{m}_{x}"), F.col(f"w_{x}"), pairwise=True), 6).alias(f"mean_{x}_{m}")
+    least = lambda m: ((F.min(f"{m}_on") + 0).alias(f"min_on_{m}"), (F.max(f"{m}_on") + 0).alias(f"max_on_{m}"))
+    whole = ["n", "seasons", "teams", "w_on", "w_off"]
+    per = s.groupBy("member").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("season").alias("seasons"), F.count_distinct("team").alias("teams"), F.sum("w_on").alias("w_on"), F.sum("w_off").alias("w_off"),
-        mean("on"), mean("off"), (F.min("on") + 0).alias("min_on"), (F.max("on") + 0).alias("max_on"),
+        *[c for m in METRICS for c in (mean(m, "on"), mean(m, "off"), *least(m))],
     )
+    own = ["mean_on", "mean_off", "min_on", "max_on"]
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"{c}_{m}").alias(c) for c in own]) for m in METRICS])
+    long = per.select("member", *whole, F.explode(rows).alias("m"))
+    return long.select("member", "m.metric", *whole, *[f"m.{c}" for c in own])
 
 
 @query(f"""WITH {LONG}, k AS (SELECT metric, count(*) AS n, count(DISTINCT member) AS members, count(DISTINCT season) AS seasons, count(DISTINCT team) AS teams,
