@@ -285,3 +285,10 @@ def test_members_are_summed_where_facts_were_dealt(spark, monkeypatch):
         assert {int(n) for _, n in _tasks(df)} == {lines // 500 + 1}
     plan = catalog.queries()["q_career_metric_summary"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Expand")  # the root comes first: metrics are laid out last
+
+
+def test_labels_are_weighed_where_rows_were_dealt(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    lines = tables.table(spark, DATA, "lineitem").count()
+    df = catalog.queries()["q_mode_name"](spark, DATA)
+    assert _tasks(df) and {int(n) for _, n in _tasks(df)} == {lines // 500 + 1}
