@@ -233,14 +233,15 @@ def q_weighted_mean_pairwise(spark: SparkSession, d: str) -> DataFrame:
   round(sum("on" * w_on) / nullif(sum(CASE WHEN "on" IS NOT NULL THEN w_on END), 0), 6) AS mean_on, round(sum("off" * w_off) / nullif(sum(CASE WHEN "off" IS NOT NULL THEN w_off END), 0), 6) AS mean_off,
   min("on") + 0 AS min_on, max("on") + 0 AS max_on FROM l GROUP BY member, metric""")
 def q_career_metric_summary(spark: SparkSession, d: str) -> DataFrame:
-    """The metrics side by side until each member is one row: distinct seasons and teams are counted once and not for every metric."""
+    """The metrics side by side until each member is one row; a member has as many rows as it has seasons and teams, so those are counted in sets."""
+    several = lambda c: F.size(F.collect_set(c)).cast("long").alias(f"{c}s")
     on, off = rates("on_"), rates("off_")
     s = split(spark, d).select("member", "season", "team", F.col("on_qty").alias("w_on"), F.col("off_qty").alias("w_off"), *[side[m].alias(f"{m}_{x}") for x, side in (("on", on), ("off", off)) for m in METRICS])
     mean = lambda m, x: F.round(onoff.weighted_mean(F.col(f"{m}_{x}"), F.col(f"w_{x}"), pairwise=True), 6).alias(f"mean_{x}_{m}")
     least = lambda m: ((F.min(f"{m}_on") + 0).alias(f"min_on_{m}"), (F.max(f"{m}_on") + 0).alias(f"max_on_{m}"))
     whole = ["n", "seasons", "teams", "w_on", "w_off"]
-    per = s.groupBy("member").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("season").alias("seasons"), F.count_distinct("team").alias("teams"), F.sum("w_on").alias("w_on"), F.sum("w_off").alias("w_off"),
+    per = dealt(s, table(spark, d, "lineitem").count(), "member").groupBy("member").agg(
+        F.count(F.lit(1)).alias("n"), several("season"), several("team"), F.sum("w_on").alias("w_on"), F.sum("w_off").alias("w_off"),
         *[c for m in METRICS for c in (mean(m, "on"), mean(m, "off"), *least(m))],
     )
     own = ["mean_on", "mean_off", "min_on", "max_on"]
