@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tandem.llm import common, ngram_join
 
@@ -106,6 +107,64 @@ def test_hot_keys_meet_by_broadcast(spark, monkeypatch, shares):
     assert rows_of(ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def shuffled(spark):
+    """Bytes shuffled so far, by the stages that Spark still knows."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+@pytest.mark.parametrize("query", [ngram_join.near_classes])
+def test_texts_without_partners_are_not_shuffled(spark, query):
+    rng = np.random.default_rng(21)
+    rows = [(k, " ".join(f"{x:x}" for x in rng.integers(1 << 40, size=1500))) for k in range(300)]
+    rows += [(1000 + k, varied(rng, rows[0][1].split(), 20)) for k in range(5)] + [(2000, rows[1][1])] * 2
+    docs = common.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the tables of keys are large
+    try:
+        before = shuffled(spark)
+        got = query(docs).collect()
+        moved = sum(n for k, n in shuffled(spark).items() if k not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = brute(rows)
+    if query is ngram_join.one_of_each:
+        assert sorted(r["doc_id"] for r in got) == sorted({c for _, c, _ in want})
+    else:
+        assert sorted(tuple(r) for r in got) == want
+    assert moved < 0.2 * sum(len(t) for _, t in rows), moved
+
+
+@pytest.mark.parametrize("most_bits", [1 << 15, 1 << 27])
+def test_sift_keeps_every_match(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(common, "MOST_BITS", most_bits)
+    rows = spark.range(200_000).selectExpr("if(id % 50 = 7, null, id) a", "id % 3 b", "'x' part")
+    table = spark.range(0, 200_000, 20).selectExpr("id a", "id % 3 b")
+    some = common.sift(rows, table, "a", "b")
+    assert some.columns == rows.columns and some.join(table, ["a", "b"]).count() == 10_000
+    assert most_bits < 1 << 20 or some.count() < 15_000
+    assert common.sift(rows, table.limit(0), "a", "b").count() == 0
+    assert common.flagged(rows, table, "flag", "a", "b").count() == 200_000
+
+
+def test_blocks_grow_before_they_become_many(spark):
+    sizes = [(2, 800), (400, 160_000), (3_000, 300_000), (20_000, 400_000), (36_000, 14_400_000)]
+    got = spark.createDataFrame(sizes, "members long, total long").select(ngram_join._blocks(F.col("members"), F.col("total"))).collect()
+    assert [r[0] for r in got] == [1, 3, 8, 8, 10]
+
+
+def test_larger_blocks_are_compared_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = [f"q{k}" for k in range(100)]
+    rows = [(k, varied(rng, base, 1 + k % 3)) for k in range(90)] + [(1000 + k, " ".join(base)) for k in range(7)]
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for blocks in (1, 2):
+        monkeypatch.setattr(ngram_join, "BLOCKS", blocks)
+        assert rows_of(ngram_join.near_classes(docs)) == brute(rows)
+
+
 def test_components(spark, monkeypatch):
     monkeypatch.setattr(common, "SHARES", 3)
     rng = np.random.default_rng(2)
