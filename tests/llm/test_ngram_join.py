@@ -115,7 +115,7 @@ def shuffled(spark):
     return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
 
 
-@pytest.mark.parametrize("query", [ngram_join.near_classes])
+@pytest.mark.parametrize("query", [ngram_join.near_classes, ngram_join.one_of_each])
 def test_texts_without_partners_are_not_shuffled(spark, query):
     rng = np.random.default_rng(21)
     rows = [(k, " ".join(f"{x:x}" for x in rng.integers(1 << 40, size=1500))) for k in range(300)]
