@@ -41,7 +41,8 @@ from tandem.llm import common
 from tandem.llm.token_counts import load, pretokens, splits_at_spaces
 
 SPACE = "▁"
-BATCH_BYTES = 8 << 20
+#: Text that shares one list of distinct pre-tokens: a batch as `common.small_batches` has it, and the row over its limit.
+BATCH_BYTES = common.BATCH_BYTES + (2 << 20)
 #: Characters of pre-tokens that are indexed at once (a longer word stands alone): bounds the suffix array and the edges.
 BLOCK_CHARS = 1 << 19
 #: Longest pre-token relaxed in one go, and the step and overlap of the windows of longer ones.
@@ -236,14 +237,19 @@ def _relax(v: Vocabulary, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.
     low, high = occurrences(codes, order, v.chars[:count], v.length[:count])
     times = high - low
     piece = np.repeat(np.arange(count, dtype=np.int32), times)
-    start = order[np.arange(len(piece)) - np.repeat(np.cumsum(times) - times - low, times)].astype(np.int32)
-    del order
+    at = np.arange(len(piece))
+    at -= np.repeat(np.cumsum(times) - times - low, times)
+    start = order.astype(np.int32)[at]
+    del order, at, codes
     known = np.zeros(n, bool)
-    known[start[v.length[piece] == 1]] = True
+    known[start[piece < np.count_nonzero(v.length[:count] == 1)]] = True  # characters have the first ranks
     lone = np.flatnonzero(~known).astype(np.int32)
     piece, start = np.concatenate([piece, np.full(len(lone), count, np.int32)]), np.concatenate([start, lone])
     offset = (np.arange(n) - np.repeat(begin, size)).astype(np.int32)  # of each character in its part
-    level = offset[start + v.length[piece] - 1] + 1
+    level = start + v.length.astype(np.int32)[piece]
+    level -= 1
+    level = offset[level]
+    level += 1
     by = np.argsort(level.astype(np.uint16) if level.max() < 1 << 16 else level, kind="stable")
     piece, start, level = piece[by], start[by], level[by]
     steps = np.concatenate(([0], np.flatnonzero(np.diff(level)) + 1, [len(level)]))
@@ -347,9 +353,10 @@ class Encoder:
         self.v = vocabulary(path)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [pretokens(t) if t else [] for t in texts]
+        one: dict[str, str] = {}  # a pre-token that stands in many places is held once
+        split = [[one.setdefault(w, w) for w in pretokens(t)] if t else [] for t in texts]
         known: dict[str, bytes] = {}
-        for block in _blocks(list({w for words in split for w in words})):
+        for block in _blocks(list(one)):
             known.update(zip(block, encode_words(self.v, block), strict=True))
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
@@ -452,18 +459,21 @@ def both_ways(path: str):
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with the ids of each whole text in ids_col (a name that docs lacks is made from it)."""
+    common.small_batches(docs.sparkSession)
     (name,) = common.fresh(docs, ids_col)
     return docs.withColumn(name, encoder(path)(F.col(text_col)))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the text of ids_col; null ids give null."""
+    common.small_batches(rows.sparkSession)
     (name,) = common.fresh(rows, text_col)
     return rows.withColumn(name, decoder(path)(F.col(ids_col)))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids, decoded_sha256, and whether decoding gives the text again."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     back = rows.select("doc_id", "text", both_ways(path)(F.col("text")).alias("r")).select("doc_id", "text", "r.*")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("exact"))

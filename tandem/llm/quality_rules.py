@@ -113,7 +113,7 @@ def _count(text: pa.Array) -> np.ndarray:
 @F.arrow_udf(_TYPE)
 def measure(text: pa.Array) -> pa.Array:
     """The counts of MEASURES for each whole text."""
-    parts = [_count(text.slice(a, n)) for a, n in common.slices(text)] or [np.zeros((len(MEASURES), 0), np.int64)]
+    parts = [_count(text.slice(a, n)) for a, n in common.slices(text, common.SPAN_BYTES)] or [np.zeros((len(MEASURES), 0), np.int64)]
     return pa.StructArray.from_arrays([pa.array(x) for x in np.concatenate(parts, axis=1)], list(MEASURES))
 
 
@@ -238,6 +238,7 @@ def fit(counts: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 12, max
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DecisionList:
     """Fits the list on at most `max_labelled` labelled documents, the only ones measured for it."""
+    common.small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
     marks = common.bounded(common.cut(marks.join(texts.select("_id"), "_id", "left_semi")), "_id", max_labelled)

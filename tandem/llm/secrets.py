@@ -225,11 +225,13 @@ def redacted(text: pa.Array) -> pa.Array:
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts by kind, a digest of the base spans and all spans."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), find(F.col(text_col)).alias("_found"))
     return rows.select("doc_id", *[F.col(f"_found.{c}") for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")])
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs with every span found replaced by its kind in brackets, and n_chars counted anew."""
+    common.small_batches(docs.sparkSession)
     out = docs.withColumn(text_col, redacted(F.col(text_col)))
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
