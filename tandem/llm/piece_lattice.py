@@ -42,9 +42,9 @@ from tandem.llm.token_counts import load, pretokens, splits_at_spaces
 
 SPACE = "▁"
 #: Text that shares one list of distinct pre-tokens: a batch as `common.small_batches` has it, and the row over its limit.
-BATCH_BYTES = common.BATCH_BYTES + (2 << 20)
+BATCH_BYTES = common.BATCH_BYTES + (1 << 20)
 #: Characters of pre-tokens that are indexed at once (a longer word stands alone): bounds the suffix array and the edges.
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 #: Longest pre-token relaxed in one go, and the step and overlap of the windows of longer ones.
 LONG, STEP, OVERLAP = 4096, 1024, 256
 _NEVER = np.int64(1 << 40)

@@ -54,7 +54,7 @@ def test_batches_to_python_are_bounded(spark, setting, step):
     assert got[0] == 6000 and got[1] <= common.BATCH_BYTES + (64 << 10)
 
 
-@pytest.mark.parametrize("given, kept", [("67108864b", None), ("16m", None), ("1g", None), ("8m", "8m"), ("512k", "512k"), ("1000", "1000")])
+@pytest.mark.parametrize("given, kept", [("67108864b", None), ("16m", None), ("1g", None), ("3m", "3m"), ("512k", "512k"), ("1000", "1000")])
 def test_a_lower_setting_stays(spark, setting, given, kept):
     spark.conf.set(setting, given)
     common.small_batches(spark)
